@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bracketry.llm import bpe, decontaminate, shard, simhash
+from bracketry.llm import bpe, decontaminate, quality, shard, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": bpe.op1_bpe, "op7_shard": shard.op7_shard, "op9_decontaminate": decontaminate.op9_decontaminate, "op10_simhash": simhash.op10_simhash}
+    return {"op1_bpe": bpe.op1_bpe, "op5_quality": quality.op5_quality, "op7_shard": shard.op7_shard, "op9_decontaminate": decontaminate.op9_decontaminate, "op10_simhash": simhash.op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_quality": quality.sql()}
