@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bracketry.llm import bpe, decontaminate, quality, secrets, shard, simhash
+from bracketry.llm import bpe, decontaminate, html, quality, secrets, shard, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": bpe.op1_bpe, "op5_quality": quality.op5_quality, "op6_secrets": secrets.op6_secrets, "op7_shard": shard.op7_shard, "op9_decontaminate": decontaminate.op9_decontaminate, "op10_simhash": simhash.op10_simhash}
+    return {"op1_bpe": bpe.op1_bpe, "op5_quality": quality.op5_quality, "op6_secrets": secrets.op6_secrets, "op7_shard": shard.op7_shard, "op8_html": html.op8_html, "op9_decontaminate": decontaminate.op9_decontaminate, "op10_simhash": simhash.op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
