@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bracketry.plans import queries, queries_model, queries_time
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["ORACLES", "QUERIES", "queries_model", "queries_time"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES = queries.QUERIES
+ORACLES = queries.ORACLES

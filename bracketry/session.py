@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,3 +23,33 @@ def ship(spark: SparkSession) -> None:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder. Only where a session names none (tests) is a temporary one made and set."""
+    sc = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not configured and sc._jsc.sc().getCheckpointDir().isDefined():
+        configured = sc._jsc.sc().getCheckpointDir().get()
+    if not configured:
+        configured = tempfile.mkdtemp(prefix="bracketry-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(configured)
+    return configured
+
+
+#: Spark's switch for removing an execution's shuffle files when it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint in the shared folder; the shuffle files that led to it are removed."""
+    spark = df.sparkSession
+    work_dir(spark)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint()
+    finally:
+        spark.conf.set(CLEAN_UP, before)
