@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.session import ship, table
+from bracketry.session import checkpointed, ship, table, work_dir
 
 __all__ = ["broadcast_bytes", "checkpointed", "ship", "table", "text_of", "training_row", "work_dir"]
 
@@ -18,26 +15,6 @@ __all__ = ["broadcast_bytes", "checkpointed", "ship", "table", "text_of", "train
 SPACE = r"\x20\x09-\x0D"
 
 
-def work_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. Only where a session names none (tests) is a temporary one made and set."""
-    sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not configured and sc._jsc.sc().getCheckpointDir().isDefined():
-        configured = sc._jsc.sc().getCheckpointDir().get()
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="bracketry-")
-        atexit.register(shutil.rmtree, configured, ignore_errors=True)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(configured)
-    return configured
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder."""
-    work_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
