@@ -44,7 +44,7 @@ def test_as_of_features_use_earlier_days_only(spark):
 
 def test_a_future_bout_changes_no_past_feature(spark):
     names = ["bout_id", "n_fights", "last3_win_rate", "landed_pm", "days_since_last", "total_fight_secs"]
-    future = [(1, 7, 15, date(2020, 3, 31), "b", 1, True, 30.0, 999.0, 0.0)]
+    future = [(1, 7, 15, date(2020, 4, 30), "b", 1, True, 30.0, 999.0, 0.0)]
     before = rows_of(history.features(small_log(spark)), *names)
     after = rows_of(history.features(small_log(spark, future)), *names)
     assert sorted(before) == sorted(r for r in after if r[0] != 15)
