@@ -26,12 +26,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bracketry.llm.common import broadcast_bytes, ship, table
+from bracketry.llm.common import broadcast_bytes, resident, ship, table
 
 #: Bound on the tokenizer file that is broadcast (compressed).
 MAX_TOKENIZER_BYTES = 64 << 20
 #: Entries of a generation of the per-worker cache of encoded chunks, and the text that is encoded at once.
-CACHE_ENTRIES, GROUP_CHARS = 1 << 18, 1 << 20
+CACHE_ENTRIES, GROUP_CHARS = 1 << 17, 1 << 20
 #: Children of a node of the segment tree.
 FAN = 16
 #: Above every rank.
@@ -79,7 +79,7 @@ class PairTree:
 class PairRanks:
     """Ranks of pairs of ids, looked up for whole arrays: a hash table with linear probing."""
 
-    BITS = 20
+    BITS = 18
 
     def __init__(self, left: np.ndarray, right: np.ndarray):
         self.keys = np.full(1 << self.BITS, -1, np.int64)
@@ -282,16 +282,9 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_LOADED: dict[int, ByteBpe] = {}
-
-
 def _tokenizer(shared) -> ByteBpe:
     payload = shared.value
-    key = zlib.crc32(payload)
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ByteBpe(zlib.decompress(payload).decode())
-    return _LOADED[key]
+    return resident(("bpe", zlib.crc32(payload)), lambda: ByteBpe(zlib.decompress(payload).decode()))
 
 
 class Bpe:
@@ -306,12 +299,7 @@ class Bpe:
         shared = self.shared
 
         def encoded(texts: pa.Array) -> pa.Array:
-            bpe = _tokenizer(shared)
-            packed = bpe.encode_many([t or "" for t in texts.to_pylist()])
-            offsets = np.zeros(len(packed) + 1, np.int32)
-            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
-            values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(packed))])
-            return pa.ListArray.from_arrays(pa.array(offsets), values)
+            return _lists(_tokenizer(shared).encode_many([t or "" for t in texts.to_pylist()]))
 
         return F.arrow_udf(encoded, T.ArrayType(T.IntegerType()))(text)
 
@@ -324,6 +312,25 @@ class Bpe:
 
         return F.arrow_udf(decoded, T.StringType())(ids)
 
+    def both(self, text: Column) -> Column:
+        """struct<ids, decoded>: encoding and then decoding of the ids in one worker, so that texts pass through Python once."""
+        shared = self.shared
+
+        def coded(texts: pa.Array) -> pa.Array:
+            bpe = _tokenizer(shared)
+            packed = bpe.encode_many([t or "" for t in texts.to_pylist()])
+            decoded = pa.array([bpe.decode(np.frombuffer(x, np.int32).tolist()) for x in packed], pa.string())
+            return pa.StructArray.from_arrays([_lists(packed), decoded], ["ids", "decoded"])
+
+        return F.arrow_udf(coded, "ids array<int>, decoded string")(text)
+
+
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.zeros(len(packed) + 1, np.int32)
+    np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
+    values = pa.Array.from_buffers(pa.int32(), int(offsets[-1]), [None, pa.py_buffer(b"".join(packed))])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
 
 def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """docs with the ids of each whole text in column `ids`."""
@@ -335,13 +342,19 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "token_ids", text: s
     return docs.withColumn(text, Bpe(docs.sparkSession, path).decode(F.col(ids)))
 
 
+def code_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
+    """docs with the ids of each whole text and the text that those ids decode to."""
+    coded = docs.withColumn("__coded", Bpe(docs.sparkSession, path).both(F.col(text)))
+    return coded.withColumns({ids: F.col("__coded.ids"), decoded: F.col("__coded.decoded")}).drop("__coded")
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 for every document."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode_documents(encode_documents(docs, path), path)
+    coded = code_documents(docs, path)
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

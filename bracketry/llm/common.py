@@ -38,3 +38,14 @@ def broadcast_bytes(spark: SparkSession, payload: bytes, limit: int):
     if len(payload) > limit:
         raise ValueError(f"payload of {len(payload)} bytes exceeds its bound of {limit}")
     return spark.sparkContext.broadcast(payload)
+
+
+_RESIDENT: dict = {}
+
+
+def resident(key, build):
+    """What a Python worker keeps between batches: one operator's state at a time, built where it isn't there. Workers outlive stages, so the state of an earlier stage goes."""
+    if key not in _RESIDENT:
+        _RESIDENT.clear()
+        _RESIDENT[key] = build()
+    return _RESIDENT[key]

@@ -36,7 +36,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode_documents(bpe.encode_documents(docs, path), path, text="__decoded")
+    coded = bpe.code_documents(docs, path, decoded="__decoded")
     return coded.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("__decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 

@@ -56,6 +56,7 @@ def test_columns(spark):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate([*TEXTS, None, TEXTS[2]])], "doc_id long, text string, decoded string").withColumnRenamed("decoded", "note")
     rows = bpe.decode_documents(bpe.encode_documents(docs, PATH), PATH).collect()
     assert all(r.decoded == (r.text or "") for r in rows) and len(rows) == len(TEXTS) + 2
+    assert [(list(r.token_ids), r.decoded) for r in bpe.code_documents(docs, PATH).orderBy("doc_id").collect()] == [(list(r.token_ids), r.decoded) for r in sorted(rows, key=lambda r: r.doc_id)]
     nothing = docs.limit(0)
     assert bpe.encode_documents(nothing, PATH).collect() == []
     assert spark.range(1).select(bpe.Bpe(spark, PATH).decode(F.lit(None).cast("array<int>")).alias("t")).first().t == ""
