@@ -155,11 +155,15 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
     return clean.select(*out)
 
 
+def counted(rank: int) -> Column:
+    return F.size(F.filter("__spans", lambda s: s["rank"] == rank)).cast("long")
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every document."""
     hits = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("__spans", lambda s: s["rank"] < len(BASE))
-    counts = [F.size(F.filter("__spans", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{kind[0]}") for r, kind in enumerate(BASE)]
+    counts = [counted(r).alias(f"n_{kind[0]}") for r, kind in enumerate(BASE)]
     return hits.select("doc_id", *counts, F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("__spans")).alias("spans"))
 
 

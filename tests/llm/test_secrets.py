@@ -51,6 +51,14 @@ def test_sql_gives_the_same(spark, sf):
     same(spark, sf, s.op6_secrets, s.sql())
 
 
+def test_counts_are_by_kind(spark):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    hits = s.scan(docs).select("doc_id", *[s.counted(r).alias(k[0]) for r, k in enumerate(s.BASE)]).collect()
+    for r in hits:
+        kinds = [x.split(":")[0] for x in plain(TEXTS[r.doc_id])]
+        assert [r[k[0]] for k in s.BASE] == [kinds.count(k[0]) for k in s.BASE]
+
+
 def test_redaction(spark):
     docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in enumerate(TEXTS)], "doc_id long, text string, n_chars long")
     out = s.redact(docs)
