@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import checkpointed, ship, table
+from bracketry.llm.common import ship, table
 
 #: Words of a window; text bytes of a block; hashes of a bucket.
 WINDOW, BLOCK_BYTES, BUCKET_HASHES = 13, 8 << 20, 1 << 20
@@ -72,14 +72,27 @@ def whole_hashes(halves: np.ndarray, window: int) -> np.ndarray:
     return mixed(halves[:n] * M1 + halves[far:] * M2) if n > 0 else halves[:0]
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, as many planes as the largest needs (a negative one needs all); their number stands first."""
+    bare = values.astype(np.uint64)
+    used = max(1, (int(bare.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([used]) + bare.view(np.uint8).reshape(-1, 8).T[:used].tobytes()
+
+
+def unplaned(data: bytes) -> np.ndarray:
+    used = data[0]
+    out = np.zeros(((len(data) - 1) // used, 8), np.uint8)
+    out[:, :used] = np.frombuffer(data, np.uint8, offset=1).reshape(used, -1).T
+    return out.view(np.int64).ravel()
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Sorted numbers as differences, byte plane by byte plane."""
-    steps = np.diff(values, prepend=values[:0].dtype.type(0))
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted numbers as differences."""
+    return planes(np.diff(values, prepend=np.uint64(0)))
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+    return np.cumsum(unplaned(data).view(np.uint64), dtype=np.uint64)
 
 
 def dealt(values: np.ndarray, bits: int):
@@ -179,11 +192,11 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         if not docs.num_rows:
             return table_of(SECOND, [])
         hashes, ids = least_ids([i for i, _ in block_texts(docs)], survivors(docs, joined(hits, "hashes") >> FILTER_SHIFT, window))
-        return table_of(SECOND, [(b, key[0].as_py(), packed(hashes[s]), ids[s].tobytes()) for b, s in dealt(hashes, bits)])
+        return table_of(SECOND, [(b, key[0].as_py(), packed(hashes[s]), planes(ids[s])) for b, s in dealt(hashes, bits)])
 
     def find_wholes(key, sent):
         arrays = [unpacked(x) for x in sent.column("hashes").to_pylist()]
-        owners = [np.frombuffer(x, np.int64) for x in sent.column("ids").to_pylist()]
+        owners = [unplaned(x) for x in sent.column("ids").to_pylist()]
         flat, owner = np.concatenate(arrays), np.concatenate(owners)
         order = np.lexsort((owner, flat))
         flat, owner = flat[order], owner[order]
@@ -195,7 +208,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             smallest = least[np.searchsorted(hashes, a)]
             earlier = smallest < own
             if earlier.any():
-                rows.append((key[0].as_py(), block, packed(a[earlier]), smallest[earlier].tobytes()))
+                rows.append((key[0].as_py(), block, packed(a[earlier]), planes(smallest[earlier])))
         return table_of(SECOND, rows)
 
     def remove(key, docs, hits):
@@ -203,7 +216,7 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         wholes = [whole_hashes(h, window) for h in all_halves(docs, window)]
         wholes = [np.maximum(w, np.uint64(1)) for w in wholes]
         hashes = np.concatenate([*[unpacked(x) for x in hits.column("hashes").to_pylist()], np.zeros(0, np.uint64)])
-        least = np.concatenate([*[np.frombuffer(x, np.int64) for x in hits.column("ids").to_pylist()], np.zeros(0, np.int64)])
+        least = np.concatenate([*[unplaned(x) for x in hits.column("ids").to_pylist()], np.zeros(0, np.int64)])
         order = np.argsort(hashes)
         hashes, least = hashes[order], least[order]
         own_hashes, own_least = repeated_here(ids, wholes)
@@ -228,8 +241,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     first, second = "bucket long, block long, hashes binary", "bucket long, block long, hashes binary, ids binary"
     halves = placed.groupBy("block").applyInArrow(send_halves, first).groupBy("bucket").applyInArrow(find_halves, first)
     wholes = placed.groupBy("block").cogroup(halves.groupBy("block")).applyInArrow(send_wholes, second).groupBy("bucket").applyInArrow(find_wholes, second)
-    hits = checkpointed(wholes)
-    out = placed.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(remove, "id long, n_words long, n_removed long, kept string")
+    # one job: the three readers of the dealt texts share one exchange
+    out = placed.groupBy("block").cogroup(wholes.groupBy("block")).applyInArrow(remove, "id long, n_words long, n_removed long, kept string")
     return out.withColumnRenamed("id", id_column)
 
 
