@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import checkpointed, ship, table
+from bracketry.llm.common import checkpointed, resident, ship, table
 
 #: Words of a window and of a block; bytes of benchmark text that are searched for at once.
 WINDOW, BLOCK, SLICE_BYTES = 13, 2, 16 << 20
@@ -103,7 +103,6 @@ def searched(text: str | None, found_by: list[WuManber]) -> tuple[int, list[int]
 
 
 SCHEMA = "n_words long, spans array<long>, items array<string>"
-_BUILT: dict[str, list[WuManber]] = {}
 
 
 def _search_slice(docs: DataFrame, items: list[tuple], text: str, out: str) -> DataFrame:
@@ -111,10 +110,8 @@ def _search_slice(docs: DataFrame, items: list[tuple], text: str, out: str) -> D
     shared, key = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def search(texts: pa.Array) -> pa.Array:
-        if key not in _BUILT:
-            _BUILT.clear()
-            _BUILT[key] = matchers(shared.value)
-        found = [searched(t.as_py(), _BUILT[key]) for t in texts]
+        built = resident(("patterns", key), lambda: matchers(shared.value))
+        found = [searched(t.as_py(), built) for t in texts]
         columns = [
             pa.array([n for n, _, _ in found], pa.int64()),
             pa.array([s for _, s, _ in found], pa.list_(pa.int64())),

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bracketry.llm.common import remainder, ship, table
+from bracketry.llm.common import remainder, resident, ship, table
 
 #: Bounds of the training sample.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 2000, 20_000
@@ -320,9 +320,6 @@ def sample(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_c
     return texts, found
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
 def scored_by(network: Network | None, spark: SparkSession, text: Column) -> Column:
     """The score of each whole text."""
     if network is None:
@@ -331,12 +328,12 @@ def scored_by(network: Network | None, spark: SparkSession, text: Column) -> Col
     shared, name = spark.sparkContext.broadcast((network.word, network.gram, network.dense)), uuid.uuid4().hex
 
     def score(texts: pa.Array) -> pa.Array:
-        if name not in _SCORERS:
-            _SCORERS.clear()
+        def build() -> Scorer:
             fitted = Network.__new__(Network)
             fitted.word, fitted.gram, fitted.dense = shared.value
-            _SCORERS[name] = Scorer(fitted)
-        return pa.array(_SCORERS[name].scores(texts.to_pylist()), pa.float64())
+            return Scorer(fitted)
+
+        return pa.array(resident(("toxicity", name), build).scores(texts.to_pylist()), pa.float64())
 
     return F.arrow_udf(score, T.DoubleType())(text)
 
