@@ -151,11 +151,16 @@ def article_slug(name: Column) -> Column:
     return F.replace(F.when(numbered != "", numbered).otherwise(name), F.lit(" "), F.lit("_"))
 
 
-def strip_tags(cell: Column) -> Column:
-    """Text of a table cell: no tags, the common character references read, cut at style residue, white space collapsed."""
-    text = F.regexp_replace(cell, r"(?s)<[^>]+>", "")
+def references(text: Column) -> Column:
+    """The text with the common character references read."""
     for name, value in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&ndash;", "–"), ("&mdash;", "—"), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(value))
+    return text
+
+
+def strip_tags(cell: Column) -> Column:
+    """Text of a table cell: no tags, the common character references read, cut at style residue, white space collapsed."""
+    text = references(F.regexp_replace(cell, r"(?s)<[^>]+>", ""))
     text = F.get(F.split(text, r"\.mw-parser-output|\{|\bN/?a\b"), 0)
     text = F.regexp_replace(text, "[\\s ]+", " ")
     return F.regexp_replace(text, "^[ —– -]+|[ —– -]+$", "")

@@ -425,8 +425,8 @@ def new_events(spark, sf_dir):
 
 @query("html_cells", "WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS c, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1), 1) AS i FROM pages) SELECT page_id, (i - 1)::INTEGER AS cell_no, regexp_replace(c, '<[^>]+>', '', 'g') AS cell FROM r WHERE NOT contains(c, '&')")
 def html_cells(spark, sf_dir):
-    cells = table(spark, sf_dir, "pages").select("page_id", F.posexplode(files.elements(F.col("html"), "li")).alias("cell_no", "c")).where(~F.contains("c", F.lit("&")))
-    return cells.select("page_id", "cell_no", F.regexp_replace("c", "<[^>]+>", "").alias("cell"))
+    cells = table(spark, sf_dir, "pages").select("page_id", F.posexplode(files.elements(F.col("html"), "li")).alias("cell_no", "c"))
+    return cells.select("page_id", "cell_no", S.references(F.regexp_replace("c", "<[^>]+>", "")).alias("cell"))
 
 
 @query("set_ops", "(SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT p_partkey FROM part WHERE p_size > 25) EXCEPT SELECT p_partkey FROM part WHERE p_type = 'ECONOMY'")

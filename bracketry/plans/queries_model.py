@@ -44,11 +44,11 @@ def scored_sql() -> str:
 
 
 def scored(spark, sf_dir):
-    """Labelled probabilities of two models. The tenth part of the bouts is the test fold of the fixture; numbering it is a sort of that fold alone."""
+    """Labelled probabilities of two models. The tenth part of the bouts is what the SQL takes."""
     a, b = F.coalesce("q1", F.lit(25.0)), F.coalesce("q2", F.lit(25.0))
     p = lambda scale: 1 / (1 + F.exp(-(a - b) / scale))
     rows = matchup.decisive(bouts(spark, sf_dir)).where("bout_id % 10 = 3").select("bout_id", (F.col("winner") == F.col("e1")).cast("int").alias("y"), p(20).alias("p"), p(60).alias("p2"))
-    return rows.withColumn("row_id", (F.row_number().over(W.Window.orderBy("bout_id")) - 1).cast("long"))
+    return splits.numbered(rows, "bout_id")
 
 
 def loss_sql(p: str = "p") -> str:
@@ -273,7 +273,7 @@ TREES, DEPTH = 5, 3
 
 def forest(spark, sf_dir):
     rows = learn_rows(spark, sf_dir)
-    numbered = rows.withColumn("key", F.col("row_id")).withColumn("row_id", (F.row_number().over(W.Window.orderBy("key")) - 1).cast("long"))
+    numbered = splits.numbered(rows.withColumnRenamed("row_id", "key"), "key")
     drawn = splits.bootstrap(numbered, numbered.count(), TREES)
     return numbered, drawn, tree.grow(tree.bagged(numbered, drawn), columns=2, max_depth=DEPTH, min_split=10, min_leaf=5, rule="sqrt")
 

@@ -157,3 +157,18 @@ def test_html_tables_and_csv(spark, tmp_path):
     (tmp_path / "f.csv").write_text("# note\nFighter_Name,Height,Reach,Weight,DOB,Str_Acc\nA,5' 11\",NA,155 lbs.,\"Jan 2, 1990\",38%\n")
     r = files.read_entities(spark, str(tmp_path / "f.csv")).first()
     assert (r.Height_in, r.Reach_in, r.Weight_lbs, r.DOB, r.Str_Acc) == (71.0, None, 155.0, date(1990, 1, 2), 0.38)
+
+
+def test_cells_with_references_stay(spark, tmp_path):
+    from bracketry.catalogue import QUERIES
+
+    html = "<ul><li>A &amp; B</li><li>plain</li><li>&lt;<b>x</b>&gt; &amp;lt;</li></ul>"
+    spark.createDataFrame([(1, html)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    cells = QUERIES["html_cells"](spark, str(tmp_path)).orderBy("cell_no").collect()
+    assert [(r.cell_no, r.cell) for r in cells] == [(0, "A & B"), (1, "plain"), (2, "<x> &lt;")]
+
+
+def test_rows_are_numbered_in_order_across_ranges(spark):
+    keys = [-5, 0, 3, 9, 10, 11, 40, 41, 1000]
+    rows = splits.numbered(spark.createDataFrame([(k,) for k in reversed(keys)], "k long"), "k", 10).collect()
+    assert sorted((r.row_id, r.k) for r in rows) == list(enumerate(keys))
