@@ -123,15 +123,28 @@ def grow(rows: DataFrame, columns: int, max_depth: int, min_split: int = 2, min_
     return keep(out)
 
 
-def predict(rows: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
-    """(tree_id, row_id, prediction, proba) for rows (row_id, x): a step of the walk is a join with the node table."""
+def landed(rows: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
+    """(tree_id, row_id, node_id): the leaf that each row (row_id, x) comes to in each tree; a step of the walk is a join with the node table."""
     trees = nodes.select("tree_id").distinct()
     at = rows.select("row_id", "x").crossJoin(F.broadcast(trees)).withColumn("node_id", F.lit(0).cast("long"))
     table_ = nodes.select("tree_id", "node_id", "feature", "threshold", "is_leaf")
     for _ in range(max_depth):
         right = (F.element_at("x", F.col("feature") + 1) > F.col("threshold")).cast("long")
         at = at.join(table_, ["tree_id", "node_id"]).select("row_id", "x", "tree_id", F.when(F.col("is_leaf"), F.col("node_id")).otherwise(2 * F.col("node_id") + 1 + right).alias("node_id"))
-    return at.join(nodes.select("tree_id", "node_id", "prediction", "proba"), ["tree_id", "node_id"]).select("tree_id", "row_id", "prediction", "proba")
+    return at.select("tree_id", "row_id", "node_id")
+
+
+def predict(rows: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
+    """(tree_id, row_id, prediction, proba) for rows (row_id, x)."""
+    return landed(rows, nodes, max_depth).join(nodes.select("tree_id", "node_id", "prediction", "proba"), ["tree_id", "node_id"]).select("tree_id", "row_id", "prediction", "proba")
+
+
+def at_depths(reached: DataFrame, nodes: DataFrame, depths: tuple[int, ...]) -> DataFrame:
+    """(depth, tree_id, row_id, prediction, proba) of the trees cut at each depth: a shallower tree is a deeper one's top, so a leaf's answer there is its ancestor's."""
+    level = F.length(F.bin(F.col("node_id") + 1)) - 1
+    up = reached.withColumn("depth", F.explode(F.array(*[F.lit(d) for d in depths]))).withColumn("up", F.greatest(level - F.col("depth"), F.lit(0)))
+    up = up.withColumn("node_id", F.expr("shiftright(node_id + 1, up) - 1"))
+    return up.join(nodes.select("tree_id", "node_id", "prediction", "proba"), ["tree_id", "node_id"]).select("depth", "tree_id", "row_id", "prediction", "proba")
 
 
 def shape(nodes: DataFrame) -> DataFrame:

@@ -172,3 +172,34 @@ def test_rows_are_numbered_in_order_across_ranges(spark):
     keys = [-5, 0, 3, 9, 10, 11, 40, 41, 1000]
     rows = splits.numbered(spark.createDataFrame([(k,) for k in reversed(keys)], "k long"), "k", 10).collect()
     assert sorted((r.row_id, r.k) for r in rows) == list(enumerate(keys))
+
+
+def test_trees_cut_at_a_depth_match_trees_grown_to_it(spark):
+    rng = random.Random(4)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(3)]) for i in range(200)]
+    df = spark.createDataFrame([(i, x, int(sum(x) > rng.gauss(0, 1))) for i, x in rows], "row_id long, x array<double>, y int")
+    one = df.withColumn("tree_id", F.lit(0)).withColumn("m", F.lit(1))
+    deep = tree.grow(one, columns=3, max_depth=5, min_split=4, min_leaf=2)
+    cut = tree.at_depths(tree.landed(df, deep, 5), deep, (2, 5, 9)).collect()
+    for depth in (2, 5):
+        want = {r.row_id: r.proba for r in tree.predict(df, tree.grow(one, columns=3, max_depth=depth, min_split=4, min_leaf=2), depth).collect()}
+        assert {r.row_id: r.proba for r in cut if r.depth == depth} == want
+    assert sorted(r.row_id for r in cut if r.depth == 9) == list(range(200))
+
+
+def test_sweeps_and_folds_are_whole(spark, sf):
+    from bracketry.catalogue import QUERIES
+
+    assert {r.depth for r in QUERIES["depth_sweep"](spark, sf).collect()} == {1, 2, 3, 4, 5, 6, 8, 10, 15, 20}
+    folds = QUERIES["run_walk_forward"](spark, sf).collect()
+    assert {(r.model, r.tree_id) for r in folds} == {(m, k) for m in ("fixed depth", "matched") for k in range(8)}
+
+
+def test_control_on_shuffled_labels_has_five_seeds(spark, sf):
+    from bracketry.catalogue import QUERIES
+
+    rows = QUERIES["shuffled_label_control"](spark, sf).collect()
+    assert sorted(r.seed for r in rows) == [1, 2, 3, 4, 5]
+    for r in rows:
+        assert r.low <= r.accuracy <= r.high and r.clear == (r.base_rate >= r.low - 1e-9)
+        assert r.passed == (sum(x.clear for x in rows) >= 4)
