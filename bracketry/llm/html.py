@@ -7,7 +7,9 @@ share that falls with distance. A container's points are discounted by the share
 of its text that stands in links. The best container is kept, widened to the
 article element that holds it, with those siblings that score near it or are plain
 prose. Boilerplate elements (menus, headers, footers, asides, forms, adverts,
-notices, comments) are cut before anything is scored.
+notices, comments) are cut before anything is scored. Inside an article headings and
+paragraphs are never cut by their class or id, and lists of links only if they are
+named like a menu.
 
 Defined results: null or empty html gives an empty text; pages cut off anywhere are
 read as far as they go, an unfinished tag at the end counts as markup; a page
@@ -47,38 +49,54 @@ BOILERPLATE = frozenset(
     "toc toolbar topbar tracking widget widgets signup login outbrain taboola dialog alert reactions".split()
 )
 CONTENT = frozenset("article body content entry main post story text maincontent".split())
+# Inside an article, the elements that a class, role or id may cut, the ids that may, and names that mark a list of links as a menu.
+CONTAINERS = frozenset("div section ul ol dl ins center".split())
+BOX_IDS = frozenset("ad ads comments disqus nav navbar newsletter outbrain share sidebar taboola toc".split())
+MENUS = frozenset("breadcrumb breadcrumbs links menu menubar nav navbar navigation pager pagination related share social tabs tags toc".split())
 #: A kept sibling has this share of the best score; prose has this length and at most this link density.
 SIBLING_SHARE, PROSE_LENGTH, PROSE_LINKS = 0.2, 80, 0.25
-#: A list or division inside the article is a menu if more of its text than this is links.
+#: A list or division inside the article that is named like a menu is one if more of its text than this is links.
 MENU_LINKS = 0.6
 
 
 class Node:
-    __slots__ = ("chars", "children", "commas", "cut", "linked", "parent", "score", "tag")
+    __slots__ = ("chars", "children", "commas", "cut", "linked", "menu", "parent", "score", "tag")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool):
-        self.tag, self.parent, self.cut = tag, parent, cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool, menu: bool = False):
+        self.tag, self.parent, self.cut, self.menu = tag, parent, cut, menu
         self.children: list[Node | str] = []
         self.chars = self.linked = self.commas = 0
         self.score = 0.0
 
 
-def boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is cut by its name or by what its class, id or role say."""
+def boilerplate(tag: str, attributes: str, inside_article: bool, inside_main: bool) -> bool:
+    """Whether an element is cut by its name or by what its class, id or role say. Inside an article or main only containers are cut by these: by a word of the class or role, a section by a whole one, a box by a whole id of BOX_IDS."""
     if tag in CUT or (tag == "header" and not inside_article):
         return True
     if not attributes or tag in ("html", "body"):
         return False
+    within = (inside_article or inside_main) and tag not in ("article", "main")
     words: set[str] = set()
     for name, *values in NAMED.findall(attributes):
         value, name = "".join(values).lower(), name.lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
             return True
-        if name in ("class", "id", "role"):
+        if within and name == "id":
+            words |= {value.strip()} & BOX_IDS
+        elif within and tag == "section" and name in ("class", "role"):
+            words |= set(value.split())
+        elif name in ("class", "id", "role"):
             words |= set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()))
+    if within:
+        return tag in CONTAINERS and bool(words & BOILERPLATE)
     return bool(words & BOILERPLATE) and not (words & CONTENT and tag in ("article", "main", "body")) and tag not in ("article", "main") or (tag == "article" and bool(words & {"comment", "comments", "reply"}))
 
 
+def menu_named(attributes: str) -> bool:
+    """Whether a word of class, id or role names a menu."""
+    return any(name.lower() in ("class", "id", "role") and set(re.split(r"[^a-z]+", "".join(values).lower())) & MENUS for name, *values in NAMED.findall(attributes))
+
+
 def parse(html: str) -> Node:
     """The page's element tree; text is decoded."""
     root = Node("#root", None, False)
@@ -121,16 +139,16 @@ def parse(html: str) -> Node:
         if tag in VOID:
             node.children.append(Node(tag, node, tag in CUT) if tag == "hr" else "\n" if tag == "br" else "")
             continue
-        child = Node(tag, node, boilerplate(tag, attributes, inside(node)))
+        child = Node(tag, node, boilerplate(tag, attributes, inside(node, "article"), inside(node, "main")), bool(attributes) and menu_named(attributes))
         node.children.append(child)
         if not attributes.rstrip().endswith("/") or tag in BLOCKS:
             node = child
     return root
 
 
-def inside(node: Node | None) -> bool:
+def inside(node: Node | None, tag: str) -> bool:
     while node is not None:
-        if node.tag == "article":
+        if node.tag == tag:
             return True
         node = node.parent
     return False
@@ -222,7 +240,7 @@ def blocks(node: Node) -> list[str]:
         elif isinstance(x, str):
             held.append(x)
         elif not x.cut:
-            if x is not node and x.tag in ("ul", "ol", "dl", "div", "section", "table") and x.chars and density(x) > MENU_LINKS:
+            if x is not node and x.menu and x.tag in ("ul", "ol", "dl", "div", "section", "table") and x.chars and density(x) > MENU_LINKS:
                 end()
                 continue
             block = x.tag in BLOCKS

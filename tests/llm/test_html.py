@@ -21,6 +21,14 @@ def test_siblings_and_article():
     assert html.main_text(page) == f"{PLAIN}\n{PLAIN}\nShort end."
 
 
+def test_named_parts_and_lists_of_links_in_an_article_stay():
+    links = "".join(f'<li><a href="/{x}">Name {x}</a></li>' for x in "abc")
+    for box in ("article", "main"):
+        page = f"""<body><{box}><p>{PROSE}</p><section id="discussion"><h2 id="related-work">Related work</h2><p class="alert">{PROSE}</p></section>
+<h2 id="search-methods">Search</h2><p>{PROSE}</p><ol>{links}</ol><ul class="nav">{links}</ul><div class="share-buttons">{PROSE}</div><div class="ad">{PROSE}</div></{box}></body>"""
+        assert html.main_text(page) == "\n".join([PLAIN, "Related work", PLAIN, "Search", PLAIN, "Name a", "Name b", "Name c"])
+
+
 def test_odd_pages():
     assert html.main_text(None) == html.main_text("") == html.main_text("<script>x") == html.main_text("<p") == ""
     assert html.main_text("just text") == "just text"
