@@ -247,14 +247,22 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         pairs = following
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per row of docs: the id, its fingerprint (16 lowercase hex digits) and component_id."""
+def grouped(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, DataFrame]:
+    """(doc, text_hash, fp) of every row, and (fp, group) of every distinct fingerprint: the smallest fingerprint of its component. Ids have no part in the links."""
     ship(docs.sparkSession)
-    marked = checkpointed(docs.select(F.col(id_column).alias("doc"), fingerprint_column(F.col(text_column)).alias("fp")))
-    nodes = marked.groupBy("fp").agg(F.min("doc").alias("node")).where(F.col("node").isNotNull())
-    # one id may stand for several fingerprints only where rows repeat it; their links join them as well
+    text = F.col(text_column)
+    marked = checkpointed(docs.select(F.col(id_column).alias("doc"), F.xxhash64(text).alias("text_hash"), fingerprint_column(text).alias("fp")))
+    nodes = marked.select("fp", F.col("fp").alias("node")).distinct()
     found = components(near_links(nodes))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return marked, nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("group"))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per row of docs: the id, its fingerprint (16 lowercase hex digits) and component_id."""
+    marked, groups = grouped(docs, id_column, text_column)
+    held = marked.groupBy("fp").agg(F.min("doc").alias("doc")).join(groups, "fp")
+    ids = held.groupBy("group").agg(F.min("doc").alias("component_id"))
+    named = held.join(ids, "group").select("fp", "component_id")
     return marked.join(named, "fp", "left").select(
         F.col("doc").alias(id_column),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -263,12 +271,13 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of docs that stay: of each component the row of the smallest id (one of them where rows repeat it); rows without id and component stay."""
-    found = near_duplicates(docs, id_column, text_column)
-    drop = found.where(F.col(id_column) != F.col("component_id")).select(F.col(id_column).alias("__gone")).distinct()
-    kept = docs.join(drop, docs[id_column] == F.col("__gone"), "left_anti")
-    nameless = kept.where(F.col(id_column).isNull())
-    return kept.where(F.col(id_column).isNotNull()).dropDuplicates([id_column]).unionByName(nameless)
+    """The rows of docs that stay: of each component one row of the smallest id, and one of those without id. Where rows of one id have different texts, each goes or stays with its own component."""
+    marked, groups = grouped(docs, id_column, text_column)
+    least = F.min(F.struct("doc", "text_hash")).alias("w")
+    stays = marked.join(groups, "fp").groupBy("group", F.isnull("doc").alias("nameless")).agg(least).select(F.col("w.doc").alias("__doc"), F.col("w.text_hash").alias("__stays"))
+    own = docs.withColumn("__text_hash", F.xxhash64(F.col(text_column)))
+    kept = own.join(stays, own[id_column].eqNullSafe(F.col("__doc")) & (F.col("__text_hash") == F.col("__stays")), "left_semi")
+    return kept.dropDuplicates([id_column, "__text_hash"]).drop("__text_hash")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,5 +89,15 @@ def test_dedup_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == [(False, 1), (False, 2), (True, 0)]
 
 
+def test_rows_without_id_link_and_rows_of_one_id_go_apart(spark, monkeypatch):
+    texts = {"a": 0b0, "n": 0b111, "b": 0b111111, "m": 0x7FFF << 40}
+    monkeypatch.setattr(simhash, "fingerprint_column", lambda text: simhash.F.element_at(simhash.F.create_map(*[simhash.F.lit(x) for kv in texts.items() for x in kv]).cast("map<string,long>"), text))
+    docs = spark.createDataFrame([(5, "a"), (None, "n"), (4, "b"), (None, "m"), (None, "m"), (5, "m")], "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(0, 4), (0, 5), (0, 5), (4, 4), (5, 4), (5, 5)]
+    # of the rows of 5 one is a near copy of 4; of the rows without id one of each component stays
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.dedup(docs).collect()) == [(0, "m"), (0, "n"), (4, "b"), (5, "m")]
+
+
 def test_empty_table(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
