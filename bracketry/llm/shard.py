@@ -144,12 +144,23 @@ def reshard(docs: DataFrame, old: Column, new_shards: int, capacities: list[int]
     )
 
 
-def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> list[int]:
-    """Write the files of every shard that gains or loses rows under path/shard=N; returns those numbers. Ids must be unique and not null."""
+def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", old: Column | None = None) -> list[int]:
+    """Write the files of every shard that gains or loses rows under path/shard=N; returns those numbers. Every row is written once: rows of one id and text, null ids too, are numbered and take their places in turn. old: the column given to reshard, where such rows may lie in different shards."""
     moved = placed.where(F.col("old_shard") != F.col("shard"))
     touched = [r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct().collect()]
-    out = placed.where(F.col("shard").isin(touched)).select(F.col(id_column).alias("__id"), "shard", "slot")
-    whole = docs.join(out, docs[id_column] == F.col("__id")).drop("__id")
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    alike = ["__id", "__size", "__crc", "__old"]
+    place = placed.select(F.col(id_column).alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), (F.lit(0) if old is None else F.col("old_shard")).alias("__old"), "shard", "slot")
+    place = place.withColumn("__rank", F.row_number().over(W.Window.partitionBy(*alike).orderBy("shard", "slot"))).where(F.col("shard").isin(touched))
+    rows = docs.select("*", F.col(id_column).alias("__id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"), (F.lit(0) if old is None else old.cast("int")).alias("__old"))
+    order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    rows = rows.withColumn("__rank", F.row_number().over(W.Window.partitionBy(*alike).orderBy(order)))
+    keys = [*alike, "__rank"]
+    place = place.withColumnsRenamed({k: f"{k}_of" for k in keys})
+    matched = F.lit(True)
+    for k in keys:
+        matched &= F.col(k).eqNullSafe(F.col(f"{k}_of"))
+    whole = rows.join(place, matched).select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
     # a shard's rows are dealt to tasks by ranges of slots
     whole.repartition("shard", F.floor(F.col("slot") / (16 * BLOCK_ROWS))).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
     return sorted(touched)

@@ -63,6 +63,18 @@ def test_rewrite_writes_only_what_changes(spark, tmp_path):
     assert back.count() == placed.where(F.col("shard").isin(touched)).count()
 
 
+def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path):
+    rows = [(i % 40 if i % 5 else None, "z" * (i % 3), f"n{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    old = shard.key_shard("note", 3)
+    placed = shard.reshard(docs, old, 4, old_shards=3)
+    touched = shard.rewrite(docs, placed, str(tmp_path / "out"), old=old)
+    back = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert touched == [0, 1, 2, 3]
+    assert sorted(r.note for r in back) == sorted(n for *_, n in rows)
+    assert sorted((r.shard, r.slot) for r in back) == sorted((r.shard, r.slot) for r in placed.collect())
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert shard.reshard(docs, shard.key_shard("doc_id", 3), 4, old_shards=3).collect() == []
