@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bracketry.llm.common import broadcast_bytes, resident, ship, table
+from bracketry.llm.common import broadcast_bytes, packed_row, resident, ship, table, unpacked_row
 
 #: Bound on the tokenizer file that is broadcast (compressed).
 MAX_TOKENIZER_BYTES = 64 << 20
@@ -343,9 +343,9 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "token_ids", text: s
 
 
 def code_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "token_ids", decoded: str = "decoded") -> DataFrame:
-    """docs with the ids of each whole text and the text that those ids decode to."""
-    coded = docs.withColumn("__coded", Bpe(docs.sparkSession, path).both(F.col(text)))
-    return coded.withColumns({ids: F.col("__coded.ids"), decoded: F.col("__coded.decoded")}).drop("__coded")
+    """docs with the ids of each whole text and the text that those ids decode to; input columns of these two names give way."""
+    coded = docs.select(packed_row(docs, ids, decoded).alias("__doc"), Bpe(docs.sparkSession, path).both(F.col(text)).alias("__coded"))
+    return coded.select(*unpacked_row(docs, "__doc", ids, decoded), F.col("__coded.ids").alias(ids), F.col("__coded.decoded").alias(decoded))
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,20 +3,48 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.session import checkpointed, ship, table, work_dir
+from bracketry.session import checkpointed, discard, ship, table, work_dir
 
-__all__ = ["broadcast_bytes", "checkpointed", "ship", "table", "text_of", "training_row", "work_dir"]
+__all__ = ["broadcast_bytes", "checkpointed", "discard", "ship", "table", "text_of", "training_row", "work_dir"]
 
 #: ASCII white space of the word contracts.
 SPACE = r"\x20\x09-\x0D"
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared store."""
+    _MADE.append(f"{work_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+@contextmanager
+def passing(spark: SparkSession):
+    """Scratch folders made within are removed at its end."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        for path in _MADE[before:]:
+            discard(spark, path)
+        del _MADE[before:]
+
+
+def packed_row(docs: DataFrame, *without: str):
+    """A struct of all columns of docs but those named, so that columns beside it can have any name."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in without], F.lit(0).alias("__end"))
+
+
+def unpacked_row(docs: DataFrame, struct: str, *without: str) -> list:
+    """The columns of docs out of the struct that packed_row made."""
+    return [F.col(struct).getField(c).alias(c) for c in docs.columns if c not in without]
 
 
 def text_of(column: str = "text"):

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bracketry.llm.common import SPACE, table
+from bracketry.llm.common import SPACE, packed_row, table, unpacked_row
 
 #: Words of a window; least words; most repeated words of a hundred.
 WINDOW, MIN_WORDS, MAX_REPEATED = 8, 20, 30
@@ -37,6 +37,8 @@ RULES = (
     ("bullet_line_ratio", "n_bullet_lines", "n_lines", None, 0.9),
     ("upper_case_ratio", "n_upper", "word_chars", None, 0.4),
 )
+#: Every measure, in the order of the columns.
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_stop_words", "n_upper", "n_lines", "n_dup_lines", "n_bullet_lines", "n_repeat_words")
 
 
 def ratio(top: str, bottom: str) -> Column:
@@ -79,11 +81,12 @@ def repeated_words(hashes: Column) -> Column:
 
 
 def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs with the measures that RULES names; each is a column of its own."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
+    """docs with the measures that RULES names; each is a column of its own, and an input column of a measure's name gives way."""
+    text = F.col("__text")
+    held = docs.select(packed_row(docs, *MEASURES).alias("__doc"), F.coalesce(F.col(text_column), F.lit("")).alias("__text"))
     words = F.filter(F.split(text, f"[{SPACE}]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
-    cut = docs.withColumns({"__words": words, "__lines": lines})
+    cut = held.withColumns({"__words": words, "__lines": lines})
     starts = F.when(F.size("__words") >= WINDOW, F.sequence(F.lit(0), F.size("__words") - WINDOW)).otherwise(F.array().cast("array<int>"))
     hashes = F.transform(starts, lambda i: F.xxhash64(*[F.get(F.col("__words"), i + k) for k in range(WINDOW)]))
     counted = cut.withColumns(
@@ -99,7 +102,8 @@ def measured(docs: DataFrame, text_column: str = "text") -> DataFrame:
             "n_bullet_lines": F.size(F.filter("__lines", lambda line: line.rlike("^[ \t]*[-*•]"))).cast("long"),
         }
     )
-    return counted.withColumn("n_repeat_words", repeated_words(F.col("__hashes"))).drop("__words", "__lines", "__hashes")
+    counted = counted.withColumn("n_repeat_words", repeated_words(F.col("__hashes")))
+    return counted.select(*unpacked_row(docs, "__doc", *MEASURES), *MEASURES)
 
 
 def base_failed() -> Column:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from bracketry.llm.common import checkpointed, table
+from bracketry.llm.common import checkpointed, packed_row, scratch, table, unpacked_row
 
 #: Code points within which the parts of one credential stand.
 SCOPE = 200
@@ -76,23 +76,28 @@ def found(text: Column, rank: int) -> Column:
     return F.when(may & text.rlike(search), rows).otherwise(nothing)
 
 
-def parts(docs: DataFrame, text_column: str) -> DataFrame:
-    """docs with a row number and a row for each match of each pattern (one row without a match where there is none): __row, rank, start, end, ok."""
-    text = F.coalesce(F.col(text_column), F.lit(""))
-    arrays = F.concat(*[found(text, rank) for rank in range(len(KINDS))])
-    keep = F.struct(F.lit(0).alias("__none"), *[F.col(c) for c in docs.columns if c != text_column])
-    # numbered below the generator: one number for a document, not for a match
-    rows = docs.select(F.monotonically_increasing_id().alias("__row"), keep.alias("__keep"), arrays.alias("__found"))
-    rows = rows.select("__row", "__keep", F.explode_outer("__found").alias("m"))
+def candidates(text: Column) -> Column:
+    """All matches of all patterns, in the form of `found`."""
+    return F.concat(*[found(text, rank) for rank in range(len(KINDS))])
+
+
+def placed(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows (__row, m) of one match each, with its place: __row, keep, rank, start, end, ok."""
     before = W.Window.partitionBy("__row", "m.rank").orderBy("m.at").rowsBetween(W.Window.unboundedPreceding, W.Window.currentRow)
     end = F.sum(F.col("m.gap") + F.col("m.n")).over(before)
     least = F.element_at(F.array(*[F.lit(k[3]) for k in (*BASE, *WEAK)]), F.col("m.rank") + 1)
     # a key has digits and letters of both cases; the other kinds need nothing more
     mixed = F.col("m.value").rlike("[0-9]") & F.col("m.value").rlike("[A-Z]") & F.col("m.value").rlike("[a-z]") & (F.col("m.n") == 40)
     ok = (F.col("m.value_n") >= least) & ((F.col("m.rank") != KINDS.index("key")) | mixed)
-    return rows.withColumn("end", end).select(
-        "__row", "__keep", F.col("m.rank").alias("rank"), (F.col("end") - F.col("m.n")).alias("start"), "end", ok.alias("ok")
-    )
+    return rows.withColumn("end", end).select("__row", *keep, F.col("m.rank").alias("rank"), (F.col("end") - F.col("m.n")).alias("start"), "end", ok.alias("ok"))
+
+
+def parts(docs: DataFrame, text_column: str) -> DataFrame:
+    """docs with a row number and a row for each match of each pattern (one row without a match where there is none): __row, __keep, rank, start, end, ok."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    # numbered below the generator: one number for a document, not for a match
+    rows = docs.select(F.monotonically_increasing_id().alias("__row"), packed_row(docs, text_column).alias("__keep"), candidates(text).alias("__found"))
+    return placed(rows.select("__row", "__keep", F.explode_outer("__found").alias("m")), "__keep")
 
 
 def linked(rows: DataFrame) -> DataFrame:
@@ -114,16 +119,21 @@ def linked(rows: DataFrame) -> DataFrame:
     return seen.where(held).select("__row", "rank", "start", "end")
 
 
+def spans_of(rows: DataFrame, spans: str) -> DataFrame:
+    """(__row, spans): of each row that has any, its spans (start, rank, end), sorted."""
+    base = rows.where(F.col("ok") & (F.col("rank") < len(BASE))).select("__row", "rank", "start", "end")
+    return base.unionByName(linked(rows)).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias(spans))
+
+
 def scan(docs: DataFrame, text_column: str = "text", spans: str = "__spans") -> DataFrame:
-    """docs without the text, with __row and array column `spans` of (start, rank, end), sorted; rank counts KINDS."""
+    """docs without the text, with __row and array column `spans` of (start, rank, end), sorted; rank counts KINDS. Input columns of these two names give way."""
     rows = checkpointed(parts(docs, text_column))
-    base = rows.where(F.col("ok") & (F.col("rank") < len(BASE))).select("__row", "rank", "start", "end")
-    all_spans = base.unionByName(linked(rows)).groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end"))).alias(spans))
     # each document once: the row without a match, or the first match of the first pattern that has one
     first = F.row_number().over(W.Window.partitionBy("__row").orderBy("rank", "start"))
     once = rows.withColumn("__first", first).where(F.col("__first") == 1).select("__row", "__keep")
-    kept = F.coalesce(spans, F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>"))
-    return once.join(all_spans, "__row", "left").select("__row", "__keep.*", kept.alias(spans)).drop("__none")
+    kept = F.coalesce("__found", F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>"))
+    out = once.join(spans_of(rows, "__found"), "__row", "left")
+    return out.select("__row", *unpacked_row(docs, "__keep", text_column, "__row", spans), kept.alias(spans))
 
 
 def digest(spans: Column) -> Column:
@@ -132,11 +142,22 @@ def digest(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame, text_column: str = "text", length_column: str | None = "n_chars") -> DataFrame:
-    """docs with each span's text replaced by [KIND]; overlapping spans are replaced as one. Rows, order of columns and clean texts are kept."""
-    columns = docs.columns
-    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), F.struct(*[F.col(c) for c in columns]).alias("__doc"))
-    hits = scan(docs.select(text_column)).where(F.size("__spans") > 0).select("__row", "__spans")
-    text = F.col(f"__doc.{text_column}")
+    """docs with each span's text replaced by [KIND]; overlapping spans are replaced as one. Rows, order of columns and clean texts are kept.
+
+    Documents are numbered once and written with their matches to the shared folder;
+    all that follows reads those numbers, so a mark can't come to another document
+    however the input is partitioned or recomputed. Texts without a match pass by the join.
+    """
+    path = scratch(docs.sparkSession, "redact")
+    matches = candidates(F.coalesce(F.col(text_column), F.lit("")))
+    numbered = docs.select(F.monotonically_increasing_id().alias("__row"), packed_row(docs).alias("__doc"), matches.alias("__found"))
+    numbered.withColumn("__n", F.size("__found")).write.parquet(path)
+    held = docs.sparkSession.read.parquet(path)
+    touched = held.where("__n > 0")
+    hits = spans_of(checkpointed(placed(touched.select("__row", F.explode("__found").alias("m")))), "__spans")
+    bare = held.where("__n = 0").select("__doc", F.lit(None).cast("array<struct<start:bigint,rank:int,end:bigint>>").alias("__spans"))
+    both = bare.unionByName(touched.select("__row", "__doc").join(hits, "__row", "left").select("__doc", "__spans"))
+    text = F.col("__doc").getField(text_column)
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -145,10 +166,10 @@ def redact(docs: DataFrame, text_column: str = "text", length_column: str | None
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece, mark))).otherwise(acc["out"]).alias("out"))
 
     rest = F.aggregate("__spans", start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text))))
-    clean = numbered.join(hits, "__row", "left").withColumn("__text", F.when(F.col("__spans").isNull(), text).otherwise(rest))
+    clean = both.withColumn("__text", F.when(F.col("__spans").isNull(), text).otherwise(rest))
     out = []
-    for c in columns:
-        value = F.col("__text") if c == text_column else F.col(f"__doc.{c}")
+    for c in docs.columns:
+        value = F.col("__text") if c == text_column else F.col("__doc").getField(c)
         if c == length_column:
             value = F.when(F.col("__spans").isNull(), value).otherwise(F.length("__text")).cast(docs.schema[c].dataType)
         out.append(value.alias(c))

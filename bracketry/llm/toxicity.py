@@ -28,12 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bracketry.llm.common import remainder, resident, ship, table
+from bracketry.llm.common import packed_row, remainder, resident, ship, table, unpacked_row
 
 #: Bounds of the training sample.
 TRAIN_TOXIC, TRAIN_CLEAN, TRAIN_CHARS = 1000, 2000, 20_000
 #: Words of a window, words from one window to the next, units of a direction, size of an embedding.
-WINDOW, STRIDE, UNITS, SIZE = 32, 24, 8, 8
+WINDOW, STRIDE, UNITS, SIZE = 32, 16, 8, 8
 #: Rows of the embedding tables and lengths of n-grams in bytes.
 WORD_ROWS, GRAM_ROWS, GRAMS = 1 << 15, 1 << 17, (3, 4, 5)
 #: Passes, times the highest windows are chosen anew, windows of a step, rate.
@@ -346,7 +346,8 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Network | None:
 def without_toxic(docs: DataFrame, labels: DataFrame, text_column: str = "text") -> DataFrame:
     """The rows of docs that score below REJECT, with the columns of docs."""
     score = scored_by(fit(docs, labels, text_column=text_column), docs.sparkSession, F.col(text_column))
-    return docs.withColumn("__score", score).where(F.col("__score") < REJECT).drop("__score")
+    scored = docs.select(packed_row(docs).alias("__doc"), score.alias("__score"))
+    return scored.where(F.col("__score") < REJECT).select(*unpacked_row(docs, "__doc"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -69,3 +70,25 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame(DOCS, "doc_id long, text string, item_id string"), spark.createDataFrame([], "item_id string, text string")
     assert d.decontaminate(docs, items).count() == len(DOCS)
     assert d.decontaminate(docs.limit(0), items).count() == 0
+
+
+def test_items_longer_than_a_slice_lose_no_window(spark, monkeypatch):
+    monkeypatch.setattr(d, "SLICE_WORDS", 20)
+    item = " ".join(f"w{i % 90}" for i in range(200))
+    docs = [(i, " ".join(item.split()[i * 9 : i * 9 + 13 + i % 3]), "k") for i in range(20)] + [(99, item, "k"), (98, "w1 w2 w3", "k")]
+    check(spark, docs, [("long", item), ("s", "w1 w2 w3")])
+
+
+def test_searches_match_brute_force_on_few_words():
+    rng = random.Random(6)
+    items = [(str(k) if k % 5 else None, " ".join(rng.choice("abc") for _ in range(rng.randint(1, 30)))) for k in range(40)]
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 60))) for _ in range(40)]
+    found = d.Patterns([(i, b" ".join(d.words_of(t))) for i, t in items]).search([*texts, None])
+    for (n, spans, names), text in zip(found, [*texts, None], strict=True):
+        assert (n, sum(b - a for a, b in zip(spans[::2], spans[1::2], strict=True)), sorted(names)) == plain(text, items)
+
+
+def test_input_columns_of_inner_names_stay(spark):
+    docs = spark.createDataFrame([(1, DOCS[0][1], "a", "b", "c", "d"), (2, "clean", "a", "b", "c", "d")], "doc_id long, text string, __row string, __found string, __spans string, __doc string")
+    kept = d.decontaminate(docs, spark.createDataFrame(ITEMS, "item_id string, text string")).collect()
+    assert [tuple(r) for r in kept] == [(2, "clean", "a", "b", "c", "d")]
