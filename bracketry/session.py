@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
+import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,12 +28,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder. Only where a session names none (tests) is a temporary one made and set."""
+    """The shared checkpoint folder. Only a local session that names none (tests) gets a temporary one; on a cluster its absence is an error."""
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not configured and sc._jsc.sc().getCheckpointDir().isDefined():
         configured = sc._jsc.sc().getCheckpointDir().get()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="bracketry-")
         atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
@@ -39,17 +43,27 @@ def work_dir(spark: SparkSession) -> str:
     return configured
 
 
-#: Spark's switch for removing an execution's shuffle files when it has ended.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: Spark's switch for removing an execution's shuffle files when it has ended, and who may turn it.
+CLEAN_UP, _TURN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", threading.Lock()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint in the shared folder; the shuffle files that led to it are removed."""
-    spark = df.sparkSession
-    work_dir(spark)
-    before = spark.conf.get(CLEAN_UP, "false")
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        return df.select("*").checkpoint()
-    finally:
-        spark.conf.set(CLEAN_UP, before)
+    """df with its lineage cut by a reliable checkpoint in the shared folder; the shuffle files that led to it are removed. One thread at a time; the session's own setting comes back, an unset one unset."""
+    conf = df.sparkSession.conf
+    work_dir(df.sparkSession)
+    with _TURN:
+        before = conf.get(CLEAN_UP, None)
+        conf.set(CLEAN_UP, "true")
+        try:
+            return df.select("*").checkpoint()
+        finally:
+            if before is None:
+                conf.unset(CLEAN_UP)
+            else:
+                conf.set(CLEAN_UP, before)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bracketry.llm import bpe, decontaminate, secrets, simhash, toxicity
-from bracketry.llm.common import scratch, ship, table
+from bracketry.llm.common import discard, passing, scratch, ship, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,13 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with token_ids, n_tokens and round_trip (the ids decode to the text; null counts as empty)."""
+    """The documents with token_ids, n_tokens and round_trip (the ids decode to the text; null counts as empty). Input columns of these names give way."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.code_documents(docs, path, decoded="__decoded")
-    return coded.select(*docs.columns, "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("__decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("token_ids", "n_tokens", "round_trip")]
+    coded = bpe.code_documents(docs.select(F.struct(*own).alias("doc"), F.coalesce("text", F.lit("")).alias("text")), path)
+    return coded.select("doc.*", "token_ids", F.size("token_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.col("text")).alias("round_trip"))
 
 
 STAGES = [
@@ -53,10 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage. A stage's input folder is removed once its output is written."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = scratch(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with passing(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if last:
+            discard(spark, last)
+        last = path
     return docs
