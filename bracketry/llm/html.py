@@ -2,14 +2,15 @@
 
 A page is read into a tree of elements (void elements, implied ends of p, li, dt,
 dd, tr, td and th, raw script and style). Each paragraph earns points for its length
-and commas; its parent gets them whole, its grandparent half, further ancestors a
-share that falls with distance. A container's points are discounted by the share
-of its text that stands in links. The best container is kept, widened to the
-article element that holds it, with those siblings that score near it or are plain
-prose. Boilerplate elements (menus, headers, footers, asides, forms, adverts,
+and commas; its parent gets them whole, its grandparent half, and every further
+ancestor half of what the one below it got. A container's points are discounted by
+the share of its text that stands in links. The best container is kept, widened to
+the article element that holds it, with those siblings that score near it or are
+plain prose. Boilerplate elements (menus, headers, footers, asides, forms, adverts,
 notices, comments) are cut before anything is scored. Inside an article headings and
-paragraphs are never cut by their class or id, and lists of links only if they are
-named like a menu.
+paragraphs are never cut by their class or id, boxes only by a name that says nothing
+else, and lists of links only if they are named like a menu. Reading and scoring take
+time in proportion to the page, however deep its elements are nested.
 
 Defined results: null or empty html gives an empty text; pages cut off anywhere are
 read as far as they go, an unfinished tag at the end counts as markup; a page
@@ -49,9 +50,11 @@ BOILERPLATE = frozenset(
     "toc toolbar topbar tracking widget widgets signup login outbrain taboola dialog alert reactions".split()
 )
 CONTENT = frozenset("article body content entry main post story text maincontent".split())
-# Inside an article, the elements that a class, role or id may cut, the ids that may, and names that mark a list of links as a menu.
+# Raw elements that may lack an end and those that may end themselves; inside an article, the elements that a class, role or id may cut, the ids that may, words that say nothing beside another, and names that mark a list of links as a menu.
+OPEN_ENDED, FOREIGN = frozenset("object svg math".split()), frozenset("svg math".split())
 CONTAINERS = frozenset("div section ul ol dl ins center".split())
 BOX_IDS = frozenset("ad ads comments disqus nav navbar newsletter outbrain share sidebar taboola toc".split())
+FURNITURE = frozenset("area articles bar block bottom box button buttons col column container content count desktop end float group holder icon icons inline inner item items large left link links list mobile outer panel posts primary right row section slot small stories strip thread toggle top unit wrap wrapper x zone".split())
 MENUS = frozenset("breadcrumb breadcrumbs links menu menubar nav navbar navigation pager pagination related share social tabs tags toc".split())
 #: A kept sibling has this share of the best score; prose has this length and at most this link density.
 SIBLING_SHARE, PROSE_LENGTH, PROSE_LINKS = 0.2, 80, 0.25
@@ -60,17 +63,29 @@ MENU_LINKS = 0.6
 
 
 class Node:
-    __slots__ = ("chars", "children", "commas", "cut", "linked", "menu", "parent", "score", "tag")
+    __slots__ = ("chars", "children", "commas", "cut", "in_article", "in_main", "linked", "menu", "parent", "score", "tag")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool, menu: bool = False):
         self.tag, self.parent, self.cut, self.menu = tag, parent, cut, menu
+        self.in_article = tag == "article" or parent is not None and parent.in_article
+        self.in_main = tag == "main" or parent is not None and parent.in_main
         self.children: list[Node | str] = []
         self.chars = self.linked = self.commas = 0
         self.score = 0.0
 
 
+def words_in(name: str) -> set[str]:
+    """The words of a class, id or role: parts between other characters than letters, and of camel case."""
+    return set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower())) - {""}
+
+
+def says_only(names: str, marks: frozenset[str]) -> bool:
+    """Whether one of the names has a word of marks, and besides such words only furniture."""
+    return any(own & marks and own <= marks | FURNITURE for own in map(words_in, names.split()))
+
+
 def boilerplate(tag: str, attributes: str, inside_article: bool, inside_main: bool) -> bool:
-    """Whether an element is cut by its name or by what its class, id or role say. Inside an article or main only containers are cut by these: by a word of the class or role, a section by a whole one, a box by a whole id of BOX_IDS."""
+    """Whether an element is cut by its name or by what its class, id or role say. Inside an article or main only containers are cut by these: by a class or role that says nothing else (a section by a whole one), a box by a whole id of BOX_IDS."""
     if tag in CUT or (tag == "header" and not inside_article):
         return True
     if not attributes or tag in ("html", "body"):
@@ -78,82 +93,89 @@ def boilerplate(tag: str, attributes: str, inside_article: bool, inside_main: bo
     within = (inside_article or inside_main) and tag not in ("article", "main")
     words: set[str] = set()
     for name, *values in NAMED.findall(attributes):
-        value, name = "".join(values).lower(), name.lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+        value, name = "".join(values), name.lower()
+        low = value.lower()
+        if name == "hidden" or (name == "aria-hidden" and low == "true") or (name == "style" and re.search(r"display\s*:\s*none", low)):
+            return True
+        if not within:
+            words |= words_in(value) if name in ("class", "id", "role") else set()
+        elif tag in CONTAINERS and name == "id":
+            if low.strip() in BOX_IDS:
+                return True
+        elif tag in CONTAINERS and name in ("class", "role") and (bool(set(low.split()) & BOILERPLATE) if tag == "section" else says_only(value, BOILERPLATE)):
             return True
-        if within and name == "id":
-            words |= {value.strip()} & BOX_IDS
-        elif within and tag == "section" and name in ("class", "role"):
-            words |= set(value.split())
-        elif name in ("class", "id", "role"):
-            words |= set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", "".join(values)).lower()))
     if within:
-        return tag in CONTAINERS and bool(words & BOILERPLATE)
+        return False
     return bool(words & BOILERPLATE) and not (words & CONTENT and tag in ("article", "main", "body")) and tag not in ("article", "main") or (tag == "article" and bool(words & {"comment", "comments", "reply"}))
 
 
 def menu_named(attributes: str) -> bool:
-    """Whether a word of class, id or role names a menu."""
-    return any(name.lower() in ("class", "id", "role") and set(re.split(r"[^a-z]+", "".join(values).lower())) & MENUS for name, *values in NAMED.findall(attributes))
+    """Whether a class, id or role names a menu and nothing else."""
+    return any(name.lower() in ("class", "id", "role") and says_only("".join(values), MENUS) for name, *values in NAMED.findall(attributes))
 
 
 def parse(html: str) -> Node:
-    """The page's element tree; text is decoded."""
+    """The page's element tree; text is decoded. Open elements are a stack, with the places of each tag and of the blocks in it, so no tag makes the reader walk up the tree."""
     root = Node("#root", None, False)
-    at, node, n, articles = 0, root, len(html), 0
+    stack: list[Node] = [root]
+    places: dict[str, list[int]] = {}
+    block_places: list[int] = []
+    endless: set[str] = set()
+    at, n = 0, len(html)
+
+    def end_from(place: int) -> None:
+        while len(stack) > place:
+            places[stack.pop().tag].pop()
+            if block_places and block_places[-1] == len(stack):
+                block_places.pop()
+
     while at < n:
         m = TOKEN.search(html, at)
         if m is None:
-            node.children.append(unescape(html[at:]))
+            stack[-1].children.append(unescape(html[at:]))
             break
         if m.start() > at:
-            node.children.append(unescape(html[at : m.start()]))
+            stack[-1].children.append(unescape(html[at : m.start()]))
         at = m.end()
         closing, tag, attributes = m[1] or m[4], (m[2] or m[5] or "").lower(), m[3] or ""
         if not tag:
             continue
         if closing:
-            up = node
-            while up is not root and up.tag != tag:
-                if tag not in BLOCKS and up.tag in BLOCKS:
-                    up = root
-                else:
-                    up = up.parent
-            if up is not root:
-                node = up.parent
+            # an inline end doesn't reach beyond a block
+            if (own := places.get(tag)) and (tag in BLOCKS or not block_places or block_places[-1] < own[-1]):
+                end_from(own[-1])
             continue
+        ends_itself = attributes.rstrip().endswith("/")
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(html, at)
-            if not attributes.rstrip().endswith("/"):
-                at = end.end() if end else n
+            if not (ends_itself and tag in FOREIGN) and tag not in endless:
+                if end := re.compile(rf"</{tag}\b[^>]*(?:>|$)", re.I).search(html, at):
+                    at = end.end()
+                elif tag in OPEN_ENDED:
+                    endless.add(tag)
+                else:
+                    at = n
             continue
         if tag in BLOCKS:
             # a block ends an open p; li, dt, dd, tr, td and th end their like
-            up, ends = node, ENDS_BEFORE.get(tag, frozenset())
-            while up is not root and (up.tag not in BLOCKS or up.tag == "p" or up.tag in ends):
-                if up.tag == "p" or up.tag in ends:
-                    node = up.parent
-                elif up.tag in SCOPES:
-                    break
-                up = up.parent
+            ends, k = ENDS_BEFORE.get(tag, frozenset()), len(block_places)
+            while k and ((open_tag := stack[block_places[k - 1]].tag) == "p" or open_tag in ends):
+                k -= 1
+            if k < len(block_places):
+                end_from(block_places[k])
+        node = stack[-1]
         if tag in VOID:
             node.children.append(Node(tag, node, tag in CUT) if tag == "hr" else "\n" if tag == "br" else "")
             continue
-        child = Node(tag, node, boilerplate(tag, attributes, inside(node, "article"), inside(node, "main")), bool(attributes) and menu_named(attributes))
+        child = Node(tag, node, boilerplate(tag, attributes, node.in_article, node.in_main), bool(attributes) and menu_named(attributes))
         node.children.append(child)
-        if not attributes.rstrip().endswith("/") or tag in BLOCKS:
-            node = child
+        if not ends_itself or tag in BLOCKS:
+            places.setdefault(tag, []).append(len(stack))
+            if tag in BLOCKS:
+                block_places.append(len(stack))
+            stack.append(child)
     return root
 
 
-def inside(node: Node | None, tag: str) -> bool:
-    while node is not None:
-        if node.tag == tag:
-            return True
-        node = node.parent
-    return False
-
-
 def walk(root: Node):
     """Uncut elements in page order, each before its children."""
     todo = [root]
@@ -192,15 +214,15 @@ def own_prose(node: Node) -> bool:
 def kept(root: Node) -> list[Node]:
     """The best container and those siblings that belong to it, in page order."""
     nodes = measure(root)
-    for node in nodes:
+    for node in reversed(nodes):
+        # what the children passed is there: half of it goes on, with the element's own points
+        points = 0.0
         if node.tag in PARAGRAPHS and node.chars >= 25 and own_prose(node):
             points = (1 + node.commas + min(node.chars / 100, 3)) * (1 - density(node))
-            up, level = node.parent, 0
-            while up is not None:
-                up.score += points / (1, 2)[level] if level < 2 else points / (3 * level)
-                up, level = up.parent, level + 1
-            if node.tag not in ("p", "li", "td", "dd"):
-                node.score += points
+        if node.parent is not None:
+            node.parent.score += points + node.score / 2
+        if node.tag not in ("p", "li", "td", "dd"):
+            node.score += points
     scored = [n for n in nodes if n.tag in BLOCKS and n.tag not in ("html", "p") and n.score]
     if not scored:
         return [next((n for n in nodes if n.tag == "body"), root)]

@@ -1,4 +1,5 @@
 import re
+import time
 from html import unescape
 
 from bracketry.llm import html
@@ -50,3 +51,17 @@ def test_empty_table_and_clashing_columns(spark):
     pages = spark.createDataFrame([(1, None, "x"), (1, PAGE, "y")], "page_id long, html string, text string")
     assert [r.text[:5] for r in html.extract_pages(pages).orderBy("text").collect()] == ["", "Title"]
     assert html.extract_pages(pages.limit(0)).collect() == []
+
+
+def test_time_is_in_proportion_to_depth():
+    prose = "".join(f"<p>{PROSE}</p>" for _ in range(50))
+    for page in ("<div>" * 100_000 + prose, "<div>" * 50_000 + prose + "</span></article>" * 50_000, "<i>" * 50_000 + "<div></div>" * 50_000 + prose, f"<div><p>{PROSE}</p>" * 30_000, "<b>" * 20_000 + "</i>" * 50_000 + prose, "<object>" * 50_000 + prose):
+        began = time.process_time()
+        assert PLAIN in html.main_text(page)
+        assert time.process_time() - began < 8
+
+
+def test_names_that_say_something_else_stay_and_scripts_go():
+    page = f"""<article><p>{PROSE}</p><div class="share-price">Up, by two per cent, on the day.</div><div class="commentary">Words, of it.</div><div class="share-bar left">{PROSE}</div>
+<ul class="related-work">{'<li><a href="/x">Title one</a></li>' * 2}</ul><script src='x'/>var a = "{PROSE}";</script><svg/><p>End, of it.</p></article>"""
+    assert html.main_text(page) == "\n".join([PLAIN, "Up, by two per cent, on the day.", "Words, of it.", "Title one", "Title one", "End, of it."])
