@@ -11,7 +11,9 @@ among small rows and the new sizes are near equal.
 
 Only the sizes of old and new shards reach the driver (both counts are
 parameters). Prefix sums are taken over blocks of some BLOCK_ROWS rows, then within
-a block, so no task needs a whole shard, whatever its share of the rows.
+a block, so no task needs a whole shard, whatever its share of the rows. A row's
+block follows from its id, size and checksum; where more rows than a block's are
+alike in all three, they are numbered and dealt over blocks.
 
 Defined results: a null text has no bytes; a null id stands first in its order;
 repeated rows are placed each for itself, in any order among themselves; an empty
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from bracketry.llm.common import checkpointed, table
+from bracketry.llm.common import checkpointed, packed_row, table, unpacked_row
 
 #: Shards before and after, what a row costs besides its text, and rows of a block.
 OLD_SHARDS, NEW_SHARDS, ROW_BYTES, BLOCK_ROWS = 32, 40, 16, 4096
@@ -103,7 +105,7 @@ def reshard(docs: DataFrame, old: Column, new_shards: int, capacities: list[int]
         F.crc32(text.cast("binary")).alias("crc"),
         old.cast("int").alias("old"),
     )
-    rows = checkpointed(rows)
+    rows = checkpointed(rows.withColumn("number", F.monotonically_increasing_id()))
     by_old = {r.old: (r.bytes, r.n) for r in rows.groupBy("old").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()}
     supply = [by_old.get(i, (0, 0))[0] for i in range(old_shards)]
     capacities = capacities or equal_capacities(sum(supply), new_shards)
@@ -118,7 +120,15 @@ def reshard(docs: DataFrame, old: Column, new_shards: int, capacities: list[int]
     large = max(1, min(capacities, default=1) // LARGE_PART)
     blocks = max(1, -(-max([n for _, n in by_old.values()], default=0) // BLOCK_ROWS))
     # the order of an old shard: large rows first, then by a hash that gives the blocks
-    spread = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
+    alike = ["id", "size", "crc"]
+    many = checkpointed(rows.groupBy(*alike).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > BLOCK_ROWS))
+    salt = F.lit(0).cast("long")
+    if not many.isEmpty():
+        many = many.select(*[F.col(c).alias(f"{c}_of") for c in alike], "copies")
+        same = F.col("id").eqNullSafe(F.col("id_of")) & (F.col("size") == F.col("size_of")) & (F.col("crc") == F.col("crc_of"))
+        rows = rows.join(many, same, "left")
+        salt = F.when(F.col("copies").isNull(), salt).otherwise(F.pmod(F.xxhash64("number"), F.ceil(F.col("copies") / BLOCK_ROWS)))
+    spread = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "size", "crc", salt)
     rows = rows.withColumn("block", (F.pmod(spread, F.lit(blocks)) + F.when(F.col("size") > large, 0).otherwise(blocks)).cast("long"))
     order = ["old", "block"]
     sums = rows.groupBy(*order).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
@@ -145,27 +155,83 @@ def reshard(docs: DataFrame, old: Column, new_shards: int, capacities: list[int]
 
 
 def rewrite(docs: DataFrame, placed: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", old: Column | None = None) -> list[int]:
-    """Write the files of every shard that gains or loses rows under path/shard=N; returns those numbers. Every row is written once: rows of one id and text, null ids too, are numbered and take their places in turn. old: the column given to reshard, where such rows may lie in different shards."""
+    """Put the files of every shard that gains or loses rows under path/shard=N; returns those numbers. All other shards there stay as they are, and a shard that loses its last row goes.
+
+    docs may be read from path itself: the new files are written whole to a staging
+    folder below it before a live one is touched, and `finish` then moves them shard
+    by shard. A run that breaks off before the staging is whole changes nothing; one
+    that breaks off later is completed by calling `finish`, and until then rewrite
+    refuses the path. Every row is written once: rows of one id and text, null ids too,
+    are numbered and take their places in turn. old: the column given to reshard, where
+    such rows may lie in different shards. Columns shard and slot of docs give way.
+    """
+    spark = docs.sparkSession
+    if _staged(spark, path):
+        raise ValueError(f"an earlier rewrite of {path} has not ended: call finish")
     moved = placed.where(F.col("old_shard") != F.col("shard"))
     touched = [r[0] for r in moved.select(F.explode(F.array("old_shard", "shard"))).distinct().collect()]
     text = F.coalesce(F.col(text_column), F.lit(""))
     alike = ["__id", "__size", "__crc", "__old"]
     place = placed.select(F.col(id_column).alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), (F.lit(0) if old is None else F.col("old_shard")).alias("__old"), "shard", "slot")
     place = place.withColumn("__rank", F.row_number().over(W.Window.partitionBy(*alike).orderBy("shard", "slot"))).where(F.col("shard").isin(touched))
-    rows = docs.select("*", F.col(id_column).alias("__id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"), (F.lit(0) if old is None else old.cast("int")).alias("__old"))
     order = F.xxhash64(*[F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()])
-    rows = rows.withColumn("__rank", F.row_number().over(W.Window.partitionBy(*alike).orderBy(order)))
+    rows = docs.select(
+        packed_row(docs, "shard", "slot").alias("__doc"), F.col(id_column).alias("__id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("__size"), F.crc32(text.cast("binary")).alias("__crc"),
+        (F.lit(0) if old is None else old.cast("int")).alias("__old"), order.alias("__order"),
+    )
+    rows = rows.withColumn("__rank", F.row_number().over(W.Window.partitionBy(*alike).orderBy("__order")))
     keys = [*alike, "__rank"]
     place = place.withColumnsRenamed({k: f"{k}_of" for k in keys})
     matched = F.lit(True)
     for k in keys:
         matched &= F.col(k).eqNullSafe(F.col(f"{k}_of"))
-    whole = rows.join(place, matched).select(*[F.col(f"`{c}`") for c in docs.columns], "shard", "slot")
+    whole = rows.join(place, matched).select(*unpacked_row(docs, "__doc", "shard", "slot"), "shard", "slot")
     # a shard's rows are dealt to tasks by ranges of slots
-    whole.repartition("shard", F.floor(F.col("slot") / (16 * BLOCK_ROWS))).sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)
+    whole = whole.repartition("shard", F.floor(F.col("slot") / (16 * BLOCK_ROWS))).sortWithinPartitions("shard", "slot")
+    # a folder for every touched shard, even where no row is left for it
+    staging = f"{path.rstrip('/')}/{STAGING}"
+    whole.write.mode("overwrite").partitionBy("shard").parquet(f"{staging}/new")
+    for n in touched:
+        _files(spark, staging).mkdirs(_path(spark, f"{staging}/new/shard={n}"))
+    _files(spark, staging).create(_path(spark, f"{staging}/WHOLE")).close()
+    finish(spark, path)
     return sorted(touched)
 
 
+#: The staging folder below a layout; readers pass over names that begin so.
+STAGING = "_resharding"
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _staged(spark: SparkSession, path: str) -> bool:
+    return _files(spark, path).exists(_path(spark, f"{path.rstrip('/')}/{STAGING}/WHOLE"))
+
+
+def finish(spark: SparkSession, path: str) -> None:
+    """Move the staged shards of a rewrite to their places. It may be called again after it was broken off; without a whole staging it does nothing."""
+    if not _staged(spark, path):
+        return
+    base, files = path.rstrip("/"), _files(spark, path)
+    for status in files.listStatus(_path(spark, f"{base}/{STAGING}/new")):
+        name = status.getPath().getName()
+        if name.startswith("shard="):
+            live = _path(spark, f"{base}/{name}")
+            files.delete(live, True)
+            # a folder without files is a shard without rows
+            if len(files.listStatus(status.getPath())) == 0:
+                files.delete(status.getPath(), True)
+            elif not files.rename(status.getPath(), live):
+                raise OSError(f"{status.getPath()} could not be moved")
+    files.delete(_path(spark, f"{base}/{STAGING}"), True)
+
+
 def key_shard(column: str, shards: int) -> Column:
     """The old layout: the id alone decides."""
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(shards))

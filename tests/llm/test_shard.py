@@ -78,3 +78,57 @@ def test_rewrite_writes_null_and_repeated_ids_once(spark, tmp_path):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert shard.reshard(docs, shard.key_shard("doc_id", 3), 4, old_shards=3).collect() == []
+
+
+def laid_out(spark, path):
+    return sorted((r.doc_id, r.shard, r.note) for r in spark.read.parquet(path).collect())
+
+
+def test_rewrite_of_a_live_layout_keeps_every_row(spark, tmp_path):
+    path = str(tmp_path / "live")
+    rows = [(i, "t" * (i % 50), f"n{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    docs.withColumn("shard", F.col("doc_id") % 3).write.partitionBy("shard").parquet(path)
+    for old, new in ((3, 4), (4, 4), (4, 2)):
+        live = spark.read.parquet(path)
+        files = {p: p.stat().st_mtime_ns for p in (tmp_path / "live").rglob("*.parquet")}
+        capacities = [3000, 1000, 9000, 9000] if new == 4 and old == 4 else None
+        placed = shard.reshard(live, F.col("shard"), new, capacities, old_shards=old).cache()
+        want = sorted((r.doc_id, r.shard) for r in placed.collect())
+        touched = shard.rewrite(live, placed, path)
+        assert [(d, n) for d, n, _ in laid_out(spark, path)] == want
+        assert sorted(n for _, _, n in laid_out(spark, path)) == sorted(n for _, _, n in rows)
+        assert all(p.exists() and p.stat().st_mtime_ns == t for p, t in files.items() if int(p.parent.name[6:]) not in touched)
+        assert not (tmp_path / "live" / shard.STAGING).exists()
+    assert sorted(p.name for p in (tmp_path / "live").glob("shard=*")) == ["shard=0", "shard=1"]
+
+
+def test_a_rewrite_that_breaks_off_loses_nothing_and_is_finished(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "live")
+    docs = spark.createDataFrame([(i, "t" * 20, f"n{i}") for i in range(200)], "doc_id long, text string, note string")
+    docs.withColumn("shard", F.col("doc_id") % 2).write.partitionBy("shard").parquet(path)
+    live = spark.read.parquet(path)
+    before = laid_out(spark, path)
+    placed = shard.reshard(live, F.col("shard"), 3, old_shards=2).cache()
+    monkeypatch.setattr(shard, "finish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):
+        shard.rewrite(live, placed, path)
+    monkeypatch.undo()
+    assert laid_out(spark, path) == before
+    with pytest.raises(ValueError, match="finish"):
+        shard.rewrite(live, placed, path)
+    shard.finish(spark, path)
+    assert [(d, n) for d, n, _ in laid_out(spark, path)] == sorted((r.doc_id, r.shard) for r in placed.collect())
+    shard.finish(spark, path)
+
+
+def test_rows_that_are_alike_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(shard, "BLOCK_ROWS", 50)
+    rows = [(None, "same")] * 2000 + [(i, "x" * (i % 9)) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    out = shard.reshard(docs, shard.key_shard("text", 4), 5, old_shards=4).collect()
+    assert len(out) == len(rows)
+    sizes = [sum(r.size for r in out if r.shard == j) for j in range(5)]
+    assert max(sizes) - min(sizes) <= 100
+    for j in range(5):
+        assert sorted(r.slot for r in out if r.shard == j) == list(range(sum(r.shard == j for r in out)))
