@@ -34,6 +34,17 @@ def plain(text):
     return [x for _, x in sorted(zip([p[:3] for p in parts if f"{p[3]}:{p[0]}:{p[2]}" in out], out, strict=True))]
 
 
+def plain_redacted(text):
+    if not (spans := plain(text)):
+        return text
+    out, at = [], 0
+    for kind, start, end in (x.split(":") for x in spans):
+        if int(start) >= at:
+            out += [text[at : int(start)], f"[{kind.upper()}]"]
+        at = max(at, int(end))
+    return "".join(out) + text[at:]
+
+
 def test_spans_match_brute_force(spark):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)] + [(0, TEXTS[0], "k")], "doc_id long, text string, start string").repartition(2)
     got = s.scan(docs).select("doc_id", s.digest(s.F.col("__spans")).alias("spans")).collect()
@@ -77,3 +88,20 @@ def test_no_python_in_the_plan(spark, sf):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert s.scan(docs).collect() == [] and s.redact(docs).collect() == []
+
+
+def test_redaction_marks_the_right_documents_however_rows_are_dealt(spark):
+    rows = [(i, f"row {i} " + (f"password=secret{i:08d} end {i}" if i % 10 == 3 else "clean " * (i % 4)), f"k{i}") for i in range(4000)] + [(None, TEXTS[1], "k"), (None, TEXTS[1], "k"), (5, None, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __row string").repartition(8)
+    got = s.redact(docs, length_column=None)
+    assert got.columns == docs.columns
+    key = lambda r: (str(r[0]), str(r[1]), r[2])
+    want = sorted(((i, plain_redacted(t), k) for i, t, k in rows), key=key)
+    assert sorted(map(tuple, got.collect()), key=key) == want
+    # read once more, other columns first
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.select("text", "doc_id").repartition(3).collect()) == sorted((i or -1, t or "") for i, t, _ in want)
+
+
+def test_every_text_equals_brute_force_redaction(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert {r.doc_id: r.text for r in s.redact(docs).collect()} == {r.doc_id: plain_redacted(r.text) for r in docs.collect()}
