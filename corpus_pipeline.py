@@ -1,6 +1,6 @@
 """The corpus pipeline: five operators, each on what its predecessor kept.
 
-Toxic documents go; of each group of near copies one document stays; contaminated
+Toxic documents go; of each group of near copies (five words, similarity 0.8) one document stays; contaminated
 documents go; secrets are replaced by marks in the texts that stay; every text is
 encoded, with a check that its ids decode to it. A stage's output is written as
 Parquet in the shared folder and read again by the next, which also cuts lineage.
@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.dedup(docs)
+    return simhash.dedup_similar(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
