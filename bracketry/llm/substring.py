@@ -1,22 +1,28 @@
 """Substring dedup by level-wise doubling.
 
-Level one takes every window of half the length asked for (rounded up) and asks
-which of them stand more than once in the corpus. Only where both halves of a
-window are repeated is it extended, at level two, to the whole length; its hash is
-made of the hashes of its halves. Every other position is dropped after level one,
-which is most of a corpus. Candidates that survive level two with an earlier
-document are the repeats. The doubling ends at the length asked for: longer windows
-consist of windows of that length, so they would remove no further word.
-
-Texts are dealt into blocks by a hash of row and text. A block sends one packed,
-sorted and delta-coded array of distinct hashes to each bucket of hashes (a
+Level one takes every window of two words and asks which of them stand more than once
+in the corpus. Only where a window and the one that follows it are repeated are the two
+joined to a window of twice the length, which the next level asks for: 2, 4, 8, and at
+last the length asked for, joined of two windows that overlap. Every other position is
+dropped, so a level carries only what the one before left (`survivors` counts them),
+and when no candidate survives, nothing is left to send. Candidates that survive the
+last level in a document after another are the repeats. The doubling ends at the length
+asked for: longer windows consist of windows of that length and would remove no further
+word.
+
+Texts are dealt into blocks by a hash of row, text and input partition. A block sends
+one packed, sorted and delta-coded array of distinct hashes to each bucket of hashes (a
 passage that a third of all rows holds is one entry for each block), and gets back
-those entries that other blocks hold as well. Level one compares 48 bits, which is
-a filter only; level two compares 64 bits.
+those entries that other blocks hold as well. The levels before the last are filters:
+they compare FILTER_MARGIN bits more than the corpus has windows need to be told apart
+in the mean. The last level compares two independent hashes, 128 bits: among 10^13
+windows the chance that any two different ones agree is below 10^-12, so words are
+taken for equal without being sent.
 
 Defined results: null and empty texts have no words; rows of one doc_id never remove
 each other's words; a row whose doc_id is null removes nothing and loses nothing;
-an empty table gives an empty table. Extra columns stay out.
+an empty table gives an empty table. Ids of whole numbers are ordered as numbers, those
+of other types as their text. Extra columns stay out.
 """
 
 from __future__ import annotations
@@ -25,15 +31,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bracketry.llm.common import ship, table
 
-#: Words of a window; text bytes of a block; hashes of a bucket.
-WINDOW, BLOCK_BYTES, BUCKET_HASHES = 13, 8 << 20, 1 << 20
-#: Bits of a hash that level one compares, and an id after all others.
-FILTER_BITS, NO_ID = 48, (1 << 63) - 1
+#: Words of a window; text bytes of a block and of a task; hashes of a bucket; bits of a filter beyond the number of windows.
+WINDOW, BLOCK_BYTES, TASK_BYTES, BUCKET_HASHES, FILTER_MARGIN = 13, 8 << 20, 64 << 20, 1 << 20, 8
+#: Bytes whose words are hashed at once.
+PIECE = 1 << 20
 
 M1, M2, M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
+#: Base of the polynomial hash of a word's bytes, and its inverse by 2^64.
+BASE = 0xD6E8FEB86659FD93
+INVERSE = pow(BASE, -1, 1 << 64)
+# ASCII white space.
+SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -42,34 +54,94 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def half_of(window: int) -> int:
-    return (window + 1) // 2
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-
-
-def half_hashes(words: np.ndarray, window: int) -> np.ndarray:
-    """Hash of the half window at each word that has a whole window, or a half one, after it."""
-    half = half_of(window)
-    if len(words) < window:
-        return words[:0]
-    n = len(words) - half + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(half):
-        h = h * M1 + words[k : k + n]
-    return mixed(h)
-
-
-def whole_hashes(halves: np.ndarray, window: int) -> np.ndarray:
-    """Hash of the window at each word, of its first and last half."""
-    far = window - half_of(window)
-    n = len(halves) - far
-    return mixed(halves[:n] * M1 + halves[far:] * M2) if n > 0 else halves[:0]
+def ladder(window: int) -> list[int]:
+    """The lengths of the levels: doubled from two words on, the last the window itself."""
+    lengths = [min(2, window)]
+    while lengths[-1] < window:
+        lengths.append(min(2 * lengths[-1], window))
+    return lengths
+
+
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the base and of its inverse up to n."""
+    held = _POWERS.get(0)
+    if held is None or len(held[0]) < n:
+        size = max(n, PIECE + 1)
+        held = tuple(np.concatenate([np.ones(1, np.uint64), np.cumprod(np.full(size - 1, b, np.uint64))]) for b in (BASE, INVERSE))
+        if size == PIECE + 1:
+            _POWERS[0] = held
+    return held
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each word of data, all words at once, and where each begins."""
+    whole, hashes, starts, at = np.frombuffer(data, np.uint8), [], [], 0
+    while at < len(whole):
+        end = at + PIECE
+        if end < len(whole):
+            gaps = np.flatnonzero(SPACE[whole[at:end]])
+            if len(gaps):
+                end = at + int(gaps[-1]) + 1
+            else:
+                # a word longer than a piece: on to its end
+                while end < len(whole) and not SPACE[whole[end]]:
+                    end += 1
+        piece = whole[at:end]
+        gap = np.concatenate([[True], SPACE[piece], [True]])
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        first, last = edges[::2], edges[1::2]
+        up, down = powers(len(piece) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)])])
+        hashes.append(mixed((sums[last] - sums[first]) * down[first]))
+        starts.append(first + at)
+        at = end
+    return np.concatenate([*hashes, np.zeros(0, np.uint64)]), np.concatenate([*starts, np.zeros(0, np.int64)]).astype(np.int64)
+
+
+class Block:
+    """The words of a block's texts one after the other."""
+
+    def __init__(self, docs: pa.Table):
+        self.texts = [t or b"" for t in docs.column("text").cast(pa.binary()).to_pylist()]
+        self.ids = docs.column("id").to_pylist()
+        self.words, starts = hashed_words(b"\n".join(self.texts))
+        ends = np.cumsum([len(t) + 1 for t in self.texts])
+        self.ends = np.searchsorted(starts, ends, "left")
+        self.counts = np.diff(self.ends, prepend=0)
+        self.doc = np.repeat(np.arange(len(self.texts)), self.counts)
+        self.left = np.repeat(self.ends, self.counts) - np.arange(len(self.words))
+
+    def windows(self, lengths: list[int]) -> np.ndarray:
+        """The hash of the window of the last of the lengths at each word; near the end of a text it means nothing."""
+        h = self.words
+        for before, length in zip([1, *lengths], lengths, strict=False):
+            far = length - before
+            h = np.concatenate([mixed(h[: max(0, len(h) - far)] * M1 + h[far:] * M2 + np.uint64(length)), h[max(0, len(h) - far) :]]) if far else h
+        return h
+
+    def able(self, window: int) -> np.ndarray:
+        """Whether each word is of a document that has an id and a whole window."""
+        named = np.array([i is not None for i in self.ids], bool)
+        return (named & (self.counts >= window))[self.doc]
+
+    def checks(self, docs: np.ndarray, window: int) -> np.ndarray:
+        """A second hash of the window at each word of some documents, of other hashes of their words; zero elsewhere."""
+        import xxhash
+
+        out = np.zeros(len(self.words), np.uint64)
+        for d in docs.tolist():
+            words = self.texts[d].split()
+            own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+            n = len(words) - window + 1
+            h = np.zeros(max(0, n), np.uint64)
+            for k in range(window):
+                h = mixed(h * M3 + own[k : k + len(h)])
+            at = self.ends[d] - self.counts[d]
+            out[at : at + len(h)] = h
+        return out
 
 
 def planes(values: np.ndarray) -> bytes:
@@ -112,145 +184,188 @@ def known(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
-FILTER_SHIFT = np.uint64(64 - FILTER_BITS)
-
-
-def block_texts(docs: pa.Table):
-    for i, text in zip(docs.column("id").to_pylist(), docs.column("text"), strict=True):
-        yield NO_ID if i is None else i, text.as_py()
-
-
-def all_halves(docs: pa.Table, window: int) -> list[np.ndarray]:
-    return [half_hashes(word_hashes(text), window) for _, text in block_texts(docs)]
+def table_of(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def joined(tables_: pa.Table, column: str) -> np.ndarray:
-    parts = [unpacked(x) for x in tables_.column(column).to_pylist()]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
+def repeated(values: np.ndarray) -> np.ndarray:
+    """The values that stand twice or more, sorted."""
+    flat = np.sort(values)
+    return np.unique(flat[1:][flat[1:] == flat[:-1]])
 
 
-def survivors(docs: pa.Table, shared: np.ndarray, window: int) -> list[np.ndarray]:
-    """For each document the hashes of its whole windows, zero where a half stands once only."""
-    halves = all_halves(docs, window)
-    keys = [h >> FILTER_SHIFT for h in halves]
-    flat = np.sort(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-    again = np.unique(flat[1:][flat[1:] == flat[:-1]])
-    out = []
-    for h, k in zip(halves, keys, strict=True):
-        ok = known(k, shared) | known(k, again)
-        far = window - half_of(window)
-        whole = whole_hashes(h, window)
-        out.append(np.where(ok[: len(whole)] & ok[far:][: len(whole)], np.maximum(whole, np.uint64(1)), np.uint64(0)))
+def pair_known(h: np.ndarray, c: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """Whether each pair (h, c) is among the pairs of two arrays."""
+    order = np.lexsort((checks, hashes))
+    hashes, checks = hashes[order], checks[order]
+    out, at = np.zeros(len(h), bool), np.searchsorted(hashes, h, "left")
+    while (live := (at < len(hashes))).any():
+        live[live] = hashes[at[live]] == h[live]
+        out[live] |= checks[at[live]] == c[live]
+        at = np.where(live & ~out, at + 1, len(hashes))
     return out
 
 
-def least_ids(ids: list[int], hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct window hashes, sorted, and the least id of each."""
-    flat = np.concatenate([*hashes, np.zeros(0, np.uint64)])
-    owner = np.repeat(np.array(ids, np.int64), [len(h) for h in hashes])
-    flat, owner = flat[flat > 0], owner[flat > 0]
-    order = np.lexsort((owner, flat))
-    flat, owner = flat[order], owner[order]
-    first = np.ones(len(flat), bool)
-    first[1:] = flat[1:] != flat[:-1]
-    return flat[first], owner[first]
+def least_of(h: np.ndarray, c: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the least owner of its pair (h, c), and the places of the rows that are the first of their pair, in the order of the pairs."""
+    order = np.lexsort((owner, c, h))
+    first = np.ones(len(order), bool)
+    first[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
+    least = np.empty_like(owner)
+    least[order] = owner[order][first][np.cumsum(first) - 1]
+    return least, order[first]
 
 
-def table_of(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
-    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
-    return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
-
+FIRST = [("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())]
+FIRST_DDL, LAST_DDL = "bucket long, block long, n long, hashes binary", "bucket long, block long, n long, hashes binary, checks binary"
+LAST = [*FIRST, ("checks", pa.binary())]
 
-FIRST = [("bucket", pa.int64()), ("block", pa.int64()), ("hashes", pa.binary())]
-SECOND = [*FIRST, ("ids", pa.binary())]
 
-
-def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: id, n_words, n_removed, kept (the words that stay, joined by one space)."""
-    spark = docs.sparkSession
-    ship(spark)
+def blocks_of(docs: DataFrame, id_column: str, text_column: str, *more) -> tuple[DataFrame, int, int, int]:
+    """(id, text, more, block) of every row, dealt to tasks by block, with the bytes of all texts, the bits of a bucket's number and the number of tasks."""
     text = F.coalesce(F.col(text_column), F.lit(""))
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    bits = max(1, (size // 6 // BUCKET_HASHES).bit_length())
-    placed = docs.select(
-        F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"), F.pmod(F.xxhash64(F.col(id_column), text), F.lit(blocks)).alias("block")
-    )
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    # rows that are alike in all but come from many input partitions are spread by these
+    block = F.pmod(F.xxhash64(F.col(id_column), text, F.spark_partition_id()), F.lit(blocks))
+    placed = docs.select(F.col(id_column).alias("id"), text.alias("text"), *more, block.alias("block")).repartition(tasks, "block")
+    return placed, size, max(1, (size // 6 // BUCKET_HASHES).bit_length()), tasks
 
-    def send_halves(key, docs):
-        flat = np.unique(np.concatenate([h >> FILTER_SHIFT for h in all_halves(docs, window)] or [np.zeros(0, np.uint64)])) << FILTER_SHIFT
-        return table_of(FIRST, [(b, key[0].as_py(), packed(flat[s])) for b, s in dealt(flat, bits)])
 
-    def find_halves(key, sent):
+def filters(placed: DataFrame, size: int, bits: int, tasks: int, window: int) -> tuple[list[tuple[int, DataFrame, DataFrame]], int]:
+    """Of each level before the last its length, what blocks send and what they get back; and the bits that filters drop."""
+    lengths = ladder(window)
+    drop = np.uint64(max(0, 64 - max(bits, (size // 6).bit_length() + FILTER_MARGIN)))
+
+    def sender(level: int):
+        def send(key, docs, hits=None):
+            flat = np.unique(candidates(Block(docs), lengths[: level + 1], window, hits, drop)[0] >> drop) << drop
+            return table_of(FIRST, [(b, key[0].as_py(), s.stop - s.start, packed(flat[s])) for b, s in dealt(flat, bits)])
+
+        return (lambda key, docs: send(key, docs)) if level == 0 else (lambda key, docs, hits: send(key, docs, hits))
+
+    def find(key, sent):
         arrays = [unpacked(x) for x in sent.column("hashes").to_pylist()]
-        flat = np.sort(np.concatenate(arrays))
-        again = np.unique(flat[1:][flat[1:] == flat[:-1]])
+        again = repeated(np.concatenate(arrays))
         hits = [(block, a[known(a, again)]) for block, a in zip(sent.column("block").to_pylist(), arrays, strict=True)]
-        return table_of(FIRST, [(key[0].as_py(), block, packed(a)) for block, a in hits if len(a)])
+        return table_of(FIRST, [(key[0].as_py(), block, len(a), packed(a)) for block, a in hits if len(a)])
+
+    out, hits = [], None
+    for level, length in enumerate(lengths[:-1]):
+        dealt_out = placed.groupBy("block")
+        sent = dealt_out.applyInArrow(sender(0), FIRST_DDL) if level == 0 else dealt_out.cogroup(hits.groupBy("block")).applyInArrow(sender(level), FIRST_DDL)
+        hits = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(find, FIRST_DDL)
+        out.append((length, sent, hits))
+    return out, drop
+
+
+def candidates(block: Block, lengths: list[int], window: int, hits: pa.Table | None, drop: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the windows of the last length that may be repeated, and their places. hits: the repeated ones of the length before."""
+    ok = block.able(window) & (block.left >= lengths[-1])
+    if hits is not None:
+        before = block.windows(lengths[:-1]) >> drop
+        valid = block.able(window) & (block.left >= lengths[-2])
+        shared = [unpacked(x) >> drop for x in hits.column("hashes").to_pylist()]
+        live = valid & known(before, np.unique(np.concatenate([*shared, repeated(before[valid])])))
+        far = lengths[-1] - lengths[-2]
+        ok &= live
+        ok[: len(ok) - far] &= live[far:]
+    at = np.flatnonzero(ok)
+    return block.windows(lengths)[at], at
+
+
+def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
+    """(length, candidates, repeated) of each level before the last: the windows, distinct in each block, that it asks for, and those of them that other blocks hold too."""
+    ship(docs.sparkSession)
+    out = None
+    for length, sent, hits in filters(*blocks_of(docs, id_column, text_column), window)[0]:
+        total = lambda df, name: df.agg(F.coalesce(F.sum("n"), F.lit(0)).alias(name))
+        one = total(sent, "candidates").crossJoin(total(hits, "repeated")).select(F.lit(length).alias("length"), "candidates", "repeated")
+        out = one if out is None else out.unionByName(one)
+    return out
 
-    def send_wholes(key, docs, hits):
-        if not docs.num_rows:
-            return table_of(SECOND, [])
-        hashes, ids = least_ids([i for i, _ in block_texts(docs)], survivors(docs, joined(hits, "hashes") >> FILTER_SHIFT, window))
-        return table_of(SECOND, [(b, key[0].as_py(), packed(hashes[s]), planes(ids[s])) for b, s in dealt(hashes, bits)])
 
-    def find_wholes(key, sent):
-        arrays = [unpacked(x) for x in sent.column("hashes").to_pylist()]
-        owners = [unplaned(x) for x in sent.column("ids").to_pylist()]
-        flat, owner = np.concatenate(arrays), np.concatenate(owners)
-        order = np.lexsort((owner, flat))
-        flat, owner = flat[order], owner[order]
-        first = np.ones(len(flat), bool)
-        first[1:] = flat[1:] != flat[:-1]
-        hashes, least = flat[first], owner[first]
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per row of docs: id, n_words, n_removed, kept (the words that stay, joined by one space)."""
+    ship(docs.sparkSession)
+    own_type = docs.schema[id_column].dataType
+    whole = isinstance(own_type, T.IntegralType)
+    id_type = "long" if whole else "string"
+    docs = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    docs = docs.withColumn("id", F.col("id").cast(id_type))
+    placed, size, bits, tasks = blocks_of(docs, "id", "text")
+    lengths = ladder(window)
+    levels, drop = filters(placed, size, bits, tasks, window)
+    names_type = pa.list_(pa.int64() if whole else pa.string())
+    sent_schema = [*LAST, ("ranks", pa.binary()), ("names", names_type)]
+
+    def ranks(block: Block) -> tuple[np.ndarray, list]:
+        names = sorted({i for i in block.ids if i is not None})
+        place = {name: k for k, name in enumerate(names)}
+        return np.array([place.get(i, -1) for i in block.ids], np.int64), names
+
+    def send(key, docs, hits=None):
+        block = Block(docs)
+        h, at = candidates(block, lengths, window, hits, drop)
+        c = block.checks(np.unique(block.doc[at]), window)[at]
+        rank, names = ranks(block)
+        owner = rank[block.doc[at]]
+        first = least_of(h, c, owner)[1]
+        h, c, owner = h[first], c[first], owner[first]
         rows = []
-        for block, a, own in zip(sent.column("block").to_pylist(), arrays, owners, strict=True):
-            smallest = least[np.searchsorted(hashes, a)]
-            earlier = smallest < own
+        for b, s in dealt(h, bits):
+            used, place = np.unique(owner[s], return_inverse=True)
+            rows.append((b, key[0].as_py(), s.stop - s.start, packed(h[s]), planes(c[s]), planes(place), [names[k] for k in used.tolist()]))
+        return table_of(sent_schema, rows)
+
+    def find(key, sent):
+        hashes = [unpacked(x) for x in sent.column("hashes").to_pylist()]
+        checks = [unplaned(x).view(np.uint64) for x in sent.column("checks").to_pylist()]
+        names = sent.column("names").to_pylist()
+        place = {name: k for k, name in enumerate(sorted({x for own in names for x in own}))}
+        owners = [np.array([place[x] for x in own], np.int64)[unplaned(r)] for own, r in zip(names, sent.column("ranks").to_pylist(), strict=True)]
+        least = least_of(np.concatenate(hashes), np.concatenate(checks), np.concatenate(owners))[0]
+        rows, at = [], 0
+        for block, h, c, own in zip(sent.column("block").to_pylist(), hashes, checks, owners, strict=True):
+            earlier = least[at : at + len(h)] < own
+            at += len(h)
             if earlier.any():
-                rows.append((key[0].as_py(), block, packed(a[earlier]), planes(smallest[earlier])))
-        return table_of(SECOND, rows)
+                rows.append((key[0].as_py(), block, int(earlier.sum()), packed(h[earlier]), planes(c[earlier])))
+        return table_of(LAST, rows)
 
     def remove(key, docs, hits):
-        ids = [i for i, _ in block_texts(docs)]
-        wholes = [whole_hashes(h, window) for h in all_halves(docs, window)]
-        wholes = [np.maximum(w, np.uint64(1)) for w in wholes]
+        block = Block(docs)
         hashes = np.concatenate([*[unpacked(x) for x in hits.column("hashes").to_pylist()], np.zeros(0, np.uint64)])
-        least = np.concatenate([*[unplaned(x) for x in hits.column("ids").to_pylist()], np.zeros(0, np.int64)])
-        order = np.argsort(hashes)
-        hashes, least = hashes[order], least[order]
-        own_hashes, own_least = repeated_here(ids, wholes)
-        out = []
-        for (i, text), w in zip(block_texts(docs), wholes, strict=True):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            gone = np.zeros(len(words) + 1, np.int64)
-            if len(w) and i != NO_ID:
-                hit = np.zeros(len(w), bool)
-                for table_, smallest in ((hashes, least), (own_hashes, own_least)):
-                    if len(table_):
-                        at = np.minimum(np.searchsorted(table_, w), len(table_) - 1)
-                        hit |= (table_[at] == w) & (smallest[at] < i)
-                starts = np.flatnonzero(hit)
-                gone[starts] += 1
-                np.add.at(gone, np.minimum(starts + window, len(words)), -1)
-            covered = np.cumsum(gone[:-1]) > 0
-            kept = b" ".join([x for x, c in zip(words, covered.tolist(), strict=True) if not c] if covered.any() else words)
-            out.append((None if i == NO_ID else i, len(words), int(covered.sum()), kept.decode("utf-8", "surrogatepass")))
-        return table_of([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())], out)
-
-    first, second = "bucket long, block long, hashes binary", "bucket long, block long, hashes binary, ids binary"
-    halves = placed.groupBy("block").applyInArrow(send_halves, first).groupBy("bucket").applyInArrow(find_halves, first)
-    wholes = placed.groupBy("block").cogroup(halves.groupBy("block")).applyInArrow(send_wholes, second).groupBy("bucket").applyInArrow(find_wholes, second)
-    # one job: the three readers of the dealt texts share one exchange
-    out = placed.groupBy("block").cogroup(wholes.groupBy("block")).applyInArrow(remove, "id long, n_words long, n_removed long, kept string")
-    return out.withColumnRenamed("id", id_column)
-
-
-def repeated_here(ids: list[int], wholes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The window hashes that stand twice or more in a block, and the least id of each."""
-    flat = np.sort(np.concatenate([*wholes, np.zeros(0, np.uint64)]))
-    again = np.unique(flat[1:][flat[1:] == flat[:-1]])
-    return least_ids(ids, [w[known(w, again)] for w in wholes])
+        checks = np.concatenate([*[unplaned(x).view(np.uint64) for x in hits.column("checks").to_pylist()], np.zeros(0, np.uint64)])
+        able = np.flatnonzero(block.able(window) & (block.left >= window))
+        h = block.windows(lengths)[able]
+        maybe = known(h, np.unique(np.concatenate([hashes, repeated(h)])))
+        h, at = h[maybe], able[maybe]
+        c = block.checks(np.unique(block.doc[at]), window)[at]
+        owner = ranks(block)[0][block.doc[at]]
+        # a document before all of this block's that hold the window, or before this one in the block
+        hit = pair_known(h, c, hashes, checks) | (least_of(h, c, owner)[0] < owner)
+        cover = np.zeros(len(block.words) + window + 1, np.int64)
+        cover[at[hit]] += 1
+        cover[at[hit] + window] -= 1
+        covered = np.cumsum(cover)[: len(block.words)] > 0
+        upto = np.concatenate([[0], np.cumsum(covered)])
+        begin = block.ends - block.counts
+        removed = upto[block.ends] - upto[begin]
+        kept = []
+        for text, gone, s, e in zip(block.texts, removed.tolist(), begin.tolist(), block.ends.tolist(), strict=True):
+            words = text.split()
+            kept.append(b" ".join([w for w, x in zip(words, covered[s:e].tolist(), strict=True) if not x] if gone else words))
+        return pa.table([docs.column("id"), pa.array(block.counts), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
+
+    dealt_out, last = placed.groupBy("block"), f"{LAST_DDL}, ranks binary, names array<{id_type}>"
+    sent = dealt_out.cogroup(levels[-1][2].groupBy("block")).applyInArrow(lambda key, docs, hits: send(key, docs, hits), last) if levels else dealt_out.applyInArrow(lambda key, docs: send(key, docs), last)
+    found = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(find, LAST_DDL)
+    # one job: all readers of the dealt texts share one exchange
+    out = placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(remove, f"id {id_type}, n_words long, n_removed long, kept string")
+    return out.select(F.col("id").cast(own_type).alias(id_column), "n_words", "n_removed", "kept")
 
 
 def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:

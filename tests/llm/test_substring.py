@@ -25,11 +25,11 @@ def plain(docs, window):
 
 
 def order(rows):
-    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[3]))
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[3], r[1]))
 
 
 @pytest.mark.parametrize("block_bytes", [300, 8 << 20])
-@pytest.mark.parametrize("window", [3, 4, 13])
+@pytest.mark.parametrize("window", [1, 2, 3, 4, 13])
 def test_small_documents_match_brute_force(spark, monkeypatch, block_bytes, window):
     monkeypatch.setattr(s, "BLOCK_BYTES", block_bytes)
     rng = random.Random(window)
@@ -49,3 +49,63 @@ def test_whole_table_matches_brute_force(spark, sf):
 
 def test_empty_table(spark):
     assert s.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_levels_double_up_to_the_window():
+    assert [s.ladder(w) for w in (1, 2, 3, 4, 13, 16)] == [[1], [2], [2, 3], [2, 4], [2, 4, 8, 13], [2, 4, 8, 16]]
+
+
+def test_word_hashes_tell_words_apart_wherever_they_stand(monkeypatch):
+    rng = random.Random(3)
+    words = [bytes(rng.choice(b"ab\x00\xff\xc3") for _ in range(rng.randint(1, 9))) for _ in range(3000)] + [b"a" * 300, b"a" * 301]
+    data = b"".join(w + rng.choice([b" ", b"\n", b"\t \x0b", b"\x0c\r"]) for w in words)
+    for piece in (64, 1 << 20):
+        monkeypatch.setattr(s, "PIECE", piece)
+        s._POWERS.clear()
+        hashes, starts = s.hashed_words(data)
+        assert [data[a:].split()[0] for a in starts.tolist()] == words
+        assert len(set(zip(hashes.tolist(), words, strict=True))) == len(set(words)) == len(set(hashes.tolist()))
+    s._POWERS.clear()
+
+
+def test_every_level_carries_only_what_the_one_before_left(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK_BYTES", 4000)
+    rng = random.Random(5)
+    passage = " ".join(f"p{rng.randrange(500)}" for _ in range(40))
+    docs = [(i, " ".join([f"w{rng.randrange(60)}" for _ in range(100)]) + " " + (passage if i % 7 == 0 else "")) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = {r.length: (r.candidates, r.repeated) for r in s.survivors(frame).collect()}
+    assert sorted(rows) == [2, 4, 8]
+    assert rows[2][0] > rows[4][0] > rows[8][0] and rows[4][1] > rows[8][1] > 0
+    # eight words of the passage, and nothing else, are left
+    assert rows[8][1] <= 33 * 9
+    assert order([tuple(r) for r in s.without_repeats(frame).collect()]) == order(plain(docs, 13))
+
+
+def test_other_ids_and_rows_that_are_alike(spark, monkeypatch):
+    monkeypatch.setattr(s, "BLOCK_BYTES", 500)
+    passage = " ".join(f"p{i}" for i in range(20))
+    docs = [("b", passage), ("a", "x " + passage), ("é", passage + " y"), (None, passage), ("10", passage), ("9", "z " + passage), *[("a", "x " + passage)] * 30]
+    got = [tuple(r) for r in s.without_repeats(spark.createDataFrame(docs, "doc_id string, text string").repartition(4)).collect()]
+    assert order_by_text(got) == order_by_text(plain(docs, 13))
+    small = spark.createDataFrame([(2, passage), (1, passage)], "doc_id int, text string")
+    assert s.without_repeats(small).schema["doc_id"].dataType.simpleString() == "int"
+    assert sorted((r.doc_id, r.n_removed) for r in s.without_repeats(small).collect()) == [(1, 0), (2, 20)]
+
+
+def order_by_text(rows):
+    return sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[3], r[1]))
+
+
+def test_pairs_of_hashes_are_told_apart():
+    import numpy as np
+
+    rng = random.Random(8)
+    pairs = [(rng.randrange(6), rng.randrange(4), rng.randrange(9)) for _ in range(200)]
+    h, c, owner = (np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.uint64, np.uint64, np.int64), strict=True))
+    some = {(a, b) for a, b, _ in pairs[:8]}
+    known = s.pair_known(h, c, np.array([a for a, _ in some], np.uint64), np.array([b for _, b in some], np.uint64))
+    assert known.tolist() == [(a, b) in some for a, b, _ in pairs]
+    least, first = s.least_of(h, c, owner)
+    assert least.tolist() == [min(o for a, b, o in pairs if (a, b) == p[:2]) for p in pairs]
+    assert [(int(h[i]), int(c[i])) for i in first] == sorted({p[:2] for p in pairs})
