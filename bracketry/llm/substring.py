@@ -14,9 +14,9 @@ Texts are dealt into blocks by a hash of row, text and input partition. A block
 one packed, sorted and delta-coded array of distinct hashes to each bucket of hashes (a
 passage that a third of all rows holds is one entry for each block), and gets back
 those entries that other blocks hold as well. The levels before the last are filters:
-they compare FILTER_MARGIN bits more than the corpus has windows need to be told apart
-in the mean. The last level compares two independent hashes, 128 bits: among 10^13
-windows the chance that any two different ones agree is below 10^-12, so words are
+they compare FILTER_MARGIN bits more than the number of the corpus's windows has. The
+last level compares these and CHECK_BITS of a second, independent hash: among 10^13
+windows a false match of any two is expected in a thousandth of corpora, so words are
 taken for equal without being sent.
 
 Defined results: null and empty texts have no words; rows of one doc_id never remove
@@ -35,8 +35,8 @@ from pyspark.sql import types as T
 
 from bracketry.llm.common import ship, table
 
-#: Words of a window; text bytes of a block and of a task; hashes of a bucket; bits of a filter beyond the number of windows.
-WINDOW, BLOCK_BYTES, TASK_BYTES, BUCKET_HASHES, FILTER_MARGIN = 13, 8 << 20, 64 << 20, 1 << 20, 8
+#: Words of a window; text bytes of a block and of a task; hashes of a bucket; bits of a hash beyond the number of windows, and of the second hash.
+WINDOW, BLOCK_BYTES, TASK_BYTES, BUCKET_HASHES, FILTER_MARGIN, CHECK_BITS = 13, 8 << 20, 64 << 20, 1 << 20, 4, 48
 #: Bytes whose words are hashed at once.
 PIECE = 1 << 20
 
@@ -140,7 +140,7 @@ class Block:
             for k in range(window):
                 h = mixed(h * M3 + own[k : k + len(h)])
             at = self.ends[d] - self.counts[d]
-            out[at : at + len(h)] = h
+            out[at : at + len(h)] = h >> np.uint64(64 - CHECK_BITS)
         return out
 
 
@@ -159,29 +159,78 @@ def unplaned(data: bytes) -> np.ndarray:
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Sorted numbers as differences."""
-    return planes(np.diff(values, prepend=np.uint64(0)))
+    """Sorted numbers as differences: of each the low bits that the mean has, and the rest as so many zeros before a one. Some two and a half bits more than the mean's logarithm for each."""
+    gaps = np.diff(values, prepend=np.uint64(0))
+    n = len(gaps)
+    if not n:
+        return b""
+    # the first number counts from zero and says nothing about the gaps
+    low = max(0, (int(values[-1] - values[0]) // max(1, n - 1)).bit_length() - 1)
+    first, gaps[0] = int(gaps[0]), 0
+    low_bits = np.packbits(np.unpackbits(gaps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little", count=low or 1)[:, :low], bitorder="little").tobytes()
+    ones = np.cumsum((gaps >> np.uint64(low)).astype(np.int64) + 1) - 1
+    unary = np.zeros(int(ones[-1]) + 1, np.uint8)
+    unary[ones] = 1
+    return first.to_bytes(8, "little") + n.to_bytes(4, "little") + bytes([low]) + low_bits + np.packbits(unary, bitorder="little").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.cumsum(unplaned(data).view(np.uint64), dtype=np.uint64)
+    if not data:
+        return np.zeros(0, np.uint64)
+    first, n, low = int.from_bytes(data[:8], "little"), int.from_bytes(data[8:12], "little"), data[12]
+    end = 13 + (n * low + 7) // 8
+    gaps = np.zeros((n, 64), np.uint8)
+    if low:
+        gaps[:, :low] = np.unpackbits(np.frombuffer(data, np.uint8, end - 13, 13), bitorder="little", count=n * low).reshape(n, low)
+    gaps = np.packbits(gaps, axis=1, bitorder="little").view(np.uint64).ravel()
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=end), bitorder="little"))
+    gaps += (np.diff(ones, prepend=-1) - 1).astype(np.uint64) << np.uint64(low)
+    return np.cumsum(gaps, dtype=np.uint64) + np.uint64(first)
+
+
+def sparse(values: np.ndarray) -> bytes:
+    """Numbers that are mostly one: a bit for each, and those that aren't."""
+    other = values != 1
+    return len(values).to_bytes(4, "little") + np.packbits(other, bitorder="little").tobytes() + planes(values[other])
+
+
+def unsparse(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    end = 4 + (n + 7) // 8
+    other = np.unpackbits(np.frombuffer(data, np.uint8, end - 4, 4), bitorder="little", count=n).astype(bool)
+    out = np.ones(n, np.int64)
+    out[other] = unplaned(data[end:])
+    return out
 
 
-def dealt(values: np.ndarray, bits: int):
-    """(bucket, slice) of a sorted array by its top `bits` of 64."""
+def dealt(values: np.ndarray, bits: int, width: int = 64):
+    """(bucket, slice) of a sorted array of numbers of `width` bits by their top `bits`."""
     if not len(values):
         return
-    bucket = (values >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+    bucket = (values >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     for a, b in zip([0, *cuts], [*cuts, len(values)], strict=True):
         yield int(bucket[a]), slice(a, b)
 
 
-def known(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
-    """Whether each value is in the sorted array."""
-    if not len(sorted_):
-        return np.zeros(len(values), bool)
-    return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct numbers, sorted."""
+    flat = np.sort(values)
+    return flat[np.concatenate([[True], flat[1:] != flat[:-1]])] if len(flat) else flat
+
+
+def repeated(values: np.ndarray) -> np.ndarray:
+    """The numbers that stand twice or more, sorted."""
+    flat = np.sort(values)
+    return distinct(flat[1:][flat[1:] == flat[:-1]])
+
+
+def maybe_known(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each number may be among some others: certain where not, by a table of their low bits."""
+    mask = np.uint64((1 << min(24, max(10, (16 * len(some)).bit_length()))) - 1)
+    table_ = np.zeros(int(mask) + 1, bool)
+    table_[(some & mask).astype(np.int64)] = True
+    return table_[(values & mask).astype(np.int64)]
 
 
 def table_of(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Table:
@@ -189,37 +238,28 @@ def table_of(schema: list[tuple[str, pa.DataType]], rows: list[tuple]) -> pa.Tab
     return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
 
 
-def repeated(values: np.ndarray) -> np.ndarray:
-    """The values that stand twice or more, sorted."""
-    flat = np.sort(values)
-    return np.unique(flat[1:][flat[1:] == flat[:-1]])
-
-
-def pair_known(h: np.ndarray, c: np.ndarray, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
-    """Whether each pair (h, c) is among the pairs of two arrays."""
-    order = np.lexsort((checks, hashes))
-    hashes, checks = hashes[order], checks[order]
-    out, at = np.zeros(len(h), bool), np.searchsorted(hashes, h, "left")
-    while (live := (at < len(hashes))).any():
-        live[live] = hashes[at[live]] == h[live]
-        out[live] |= checks[at[live]] == c[live]
-        at = np.where(live & ~out, at + 1, len(hashes))
-    return out
-
-
-def least_of(h: np.ndarray, c: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each row the least owner of its pair (h, c), and the places of the rows that are the first of their pair, in the order of the pairs."""
-    order = np.lexsort((owner, c, h))
+def least_of(h: np.ndarray, c: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each row the least owner of its pair (h, c) and the number of its pair in the order of h, and the places of one row of each pair in that order."""
+    order = np.argsort(h)
+    sorted_h, sorted_c = h[order], c[order]
     first = np.ones(len(order), bool)
-    first[1:] = (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1])
-    least = np.empty_like(owner)
-    least[order] = owner[order][first][np.cumsum(first) - 1]
-    return least, order[first]
+    first[1:] = sorted_h[1:] != sorted_h[:-1]
+    if (~first[1:] & (sorted_c[1:] != sorted_c[:-1])).any():
+        # different windows of one h
+        order = np.lexsort((c, h))
+        sorted_h, sorted_c = h[order], c[order]
+        first[1:] = (sorted_h[1:] != sorted_h[:-1]) | (sorted_c[1:] != sorted_c[:-1])
+    at = np.flatnonzero(first)
+    by_pair = np.minimum.reduceat(owner[order], at) if len(at) else owner[:0]
+    number = np.empty(len(owner), np.int64)
+    number[order] = np.cumsum(first) - 1
+    return by_pair[number], number, order[at]
 
 
 FIRST = [("bucket", pa.int64()), ("block", pa.int64()), ("n", pa.int64()), ("hashes", pa.binary())]
-FIRST_DDL, LAST_DDL = "bucket long, block long, n long, hashes binary", "bucket long, block long, n long, hashes binary, checks binary"
-LAST = [*FIRST, ("checks", pa.binary())]
+FIRST_DDL = "bucket long, block long, n long, hashes binary"
+#: What the last level sends besides, and what comes back: the hits of the level before (bucket -1), or a bit for each of a block's windows of a bucket.
+LAST, LAST_DDL = [*FIRST, ("checks", pa.binary()), ("ranks", pa.binary())], f"{FIRST_DDL}, checks binary, ranks binary"
 
 
 def blocks_of(docs: DataFrame, id_column: str, text_column: str, *more) -> tuple[DataFrame, int, int, int]:
@@ -234,22 +274,22 @@ def blocks_of(docs: DataFrame, id_column: str, text_column: str, *more) -> tuple
     return placed, size, max(1, (size // 6 // BUCKET_HASHES).bit_length()), tasks
 
 
-def filters(placed: DataFrame, size: int, bits: int, tasks: int, window: int) -> tuple[list[tuple[int, DataFrame, DataFrame]], int]:
-    """Of each level before the last its length, what blocks send and what they get back; and the bits that filters drop."""
+def filters(placed: DataFrame, size: int, bits: int, tasks: int, window: int) -> tuple[list[tuple[int, DataFrame, DataFrame]], np.uint64]:
+    """Of each level before the last its length, what blocks send and what they get back; and the bits that hashes drop."""
     lengths = ladder(window)
     drop = np.uint64(max(0, 64 - max(bits, (size // 6).bit_length() + FILTER_MARGIN)))
 
     def sender(level: int):
         def send(key, docs, hits=None):
-            flat = np.unique(candidates(Block(docs), lengths[: level + 1], window, hits, drop)[0] >> drop) << drop
-            return table_of(FIRST, [(b, key[0].as_py(), s.stop - s.start, packed(flat[s])) for b, s in dealt(flat, bits)])
+            flat = distinct(candidates(Block(docs), lengths[: level + 1], window, hits, drop)[0])
+            return table_of(FIRST, [(b, key[0].as_py(), s.stop - s.start, packed(flat[s])) for b, s in dealt(flat, bits, 64 - int(drop))])
 
         return (lambda key, docs: send(key, docs)) if level == 0 else (lambda key, docs, hits: send(key, docs, hits))
 
     def find(key, sent):
         arrays = [unpacked(x) for x in sent.column("hashes").to_pylist()]
         again = repeated(np.concatenate(arrays))
-        hits = [(block, a[known(a, again)]) for block, a in zip(sent.column("block").to_pylist(), arrays, strict=True)]
+        hits = [(block, a[maybe_known(a, again)]) for block, a in zip(sent.column("block").to_pylist(), arrays, strict=True)]
         return table_of(FIRST, [(key[0].as_py(), block, len(a), packed(a)) for block, a in hits if len(a)])
 
     out, hits = [], None
@@ -263,17 +303,18 @@ def filters(placed: DataFrame, size: int, bits: int, tasks: int, window: int) ->
 
 def candidates(block: Block, lengths: list[int], window: int, hits: pa.Table | None, drop: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of the windows of the last length that may be repeated, and their places. hits: the repeated ones of the length before."""
-    ok = block.able(window) & (block.left >= lengths[-1])
+    able = block.able(window)
+    ok = able & (block.left >= lengths[-1])
     if hits is not None:
-        before = block.windows(lengths[:-1]) >> drop
-        valid = block.able(window) & (block.left >= lengths[-2])
-        shared = [unpacked(x) >> drop for x in hits.column("hashes").to_pylist()]
-        live = valid & known(before, np.unique(np.concatenate([*shared, repeated(before[valid])])))
+        earlier = block.windows(lengths[:-1]) >> drop
+        valid = able & (block.left >= lengths[-2])
+        shared = np.concatenate([*[unpacked(x) for x in hits.column("hashes").to_pylist()], repeated(earlier[valid])])
+        live = valid & maybe_known(earlier, shared)
         far = lengths[-1] - lengths[-2]
         ok &= live
         ok[: len(ok) - far] &= live[far:]
     at = np.flatnonzero(ok)
-    return block.windows(lengths)[at], at
+    return block.windows(lengths)[at] >> drop, at
 
 
 def survivors(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
@@ -299,23 +340,22 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     lengths = ladder(window)
     levels, drop = filters(placed, size, bits, tasks, window)
     names_type = pa.list_(pa.int64() if whole else pa.string())
-    sent_schema = [*LAST, ("ranks", pa.binary()), ("names", names_type)]
+    sent_schema, width = [*LAST, ("names", names_type)], 64 - int(drop)
 
-    def ranks(block: Block) -> tuple[np.ndarray, list]:
+    def wholes(block: Block, hits: pa.Table | None):
+        """The candidates of the last level: hashes, second hashes, places, the ranks of their ids and all ids, and what least_of says of them."""
+        h, at = candidates(block, lengths, window, hits, drop)
+        c = block.checks(np.flatnonzero(np.bincount(block.doc[at], minlength=1)), window)[at]
         names = sorted({i for i in block.ids if i is not None})
         place = {name: k for k, name in enumerate(names)}
-        return np.array([place.get(i, -1) for i in block.ids], np.int64), names
+        owner = np.array([place.get(i, -1) for i in block.ids], np.int64)[block.doc[at]]
+        return h, c, at, owner, names, *least_of(h, c, owner)
 
     def send(key, docs, hits=None):
-        block = Block(docs)
-        h, at = candidates(block, lengths, window, hits, drop)
-        c = block.checks(np.unique(block.doc[at]), window)[at]
-        rank, names = ranks(block)
-        owner = rank[block.doc[at]]
-        first = least_of(h, c, owner)[1]
-        h, c, owner = h[first], c[first], owner[first]
+        h, c, _, _, names, least, _, first = wholes(Block(docs), hits)
+        h, c, owner = h[first], c[first], least[first]
         rows = []
-        for b, s in dealt(h, bits):
+        for b, s in dealt(h, bits, width):
             used, place = np.unique(owner[s], return_inverse=True)
             rows.append((b, key[0].as_py(), s.stop - s.start, packed(h[s]), planes(c[s]), planes(place), [names[k] for k in used.tolist()]))
         return table_of(sent_schema, rows)
@@ -328,25 +368,23 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         owners = [np.array([place[x] for x in own], np.int64)[unplaned(r)] for own, r in zip(names, sent.column("ranks").to_pylist(), strict=True)]
         least = least_of(np.concatenate(hashes), np.concatenate(checks), np.concatenate(owners))[0]
         rows, at = [], 0
-        for block, h, c, own in zip(sent.column("block").to_pylist(), hashes, checks, owners, strict=True):
-            earlier = least[at : at + len(h)] < own
-            at += len(h)
-            if earlier.any():
-                rows.append((key[0].as_py(), block, int(earlier.sum()), packed(h[earlier]), planes(c[earlier])))
-        return table_of(LAST, rows)
-
-    def remove(key, docs, hits):
+        for block, own in zip(sent.column("block").to_pylist(), owners, strict=True):
+            rows.append((key[0].as_py(), block, len(own), np.packbits(least[at : at + len(own)] < own).tobytes()))
+            at += len(own)
+        return table_of(FIRST, rows)
+
+    def remove(key, docs, back):
+        del key
         block = Block(docs)
-        hashes = np.concatenate([*[unpacked(x) for x in hits.column("hashes").to_pylist()], np.zeros(0, np.uint64)])
-        checks = np.concatenate([*[unplaned(x).view(np.uint64) for x in hits.column("checks").to_pylist()], np.zeros(0, np.uint64)])
-        able = np.flatnonzero(block.able(window) & (block.left >= window))
-        h = block.windows(lengths)[able]
-        maybe = known(h, np.unique(np.concatenate([hashes, repeated(h)])))
-        h, at = h[maybe], able[maybe]
-        c = block.checks(np.unique(block.doc[at]), window)[at]
-        owner = ranks(block)[0][block.doc[at]]
+        own = back.column("bucket").to_numpy() < 0
+        _, _, at, owner, _, least, number, first = wholes(block, back.filter(pa.array(own)) if len(lengths) > 1 else None)
+        # the answers stand in the order of the buckets, so in that of the block's distinct windows
+        answers = sorted((r["bucket"], r["n"], r["hashes"]) for r in back.filter(pa.array(~own)).to_pylist())
+        earlier = np.concatenate([*[np.unpackbits(np.frombuffer(x, np.uint8), count=n) for _, n, x in answers], np.zeros(0, np.uint8)]).astype(bool)
+        if len(earlier) != len(first):
+            raise RuntimeError("a block's rows changed between two readings: the input isn't the same when read twice")
         # a document before all of this block's that hold the window, or before this one in the block
-        hit = pair_known(h, c, hashes, checks) | (least_of(h, c, owner)[0] < owner)
+        hit = earlier[number] | (least < owner)
         cover = np.zeros(len(block.words) + window + 1, np.int64)
         cover[at[hit]] += 1
         cover[at[hit] + window] -= 1
@@ -360,11 +398,13 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             kept.append(b" ".join([w for w, x in zip(words, covered[s:e].tolist(), strict=True) if not x] if gone else words))
         return pa.table([docs.column("id"), pa.array(block.counts), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], names=["id", "n_words", "n_removed", "kept"])
 
-    dealt_out, last = placed.groupBy("block"), f"{LAST_DDL}, ranks binary, names array<{id_type}>"
+    dealt_out, last = placed.groupBy("block"), f"{LAST_DDL}, names array<{id_type}>"
     sent = dealt_out.cogroup(levels[-1][2].groupBy("block")).applyInArrow(lambda key, docs, hits: send(key, docs, hits), last) if levels else dealt_out.applyInArrow(lambda key, docs: send(key, docs), last)
-    found = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(find, LAST_DDL)
+    back = sent.repartition(tasks, "bucket").groupBy("bucket").applyInArrow(find, FIRST_DDL)
+    if levels:
+        back = back.unionByName(levels[-1][2].withColumn("bucket", F.lit(-1).cast("long")))
     # one job: all readers of the dealt texts share one exchange
-    out = placed.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(remove, f"id {id_type}, n_words long, n_removed long, kept string")
+    out = placed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(remove, f"id {id_type}, n_words long, n_removed long, kept string")
     return out.select(F.col("id").cast(own_type).alias(id_column), "n_words", "n_removed", "kept")
 
 

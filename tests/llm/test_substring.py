@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from bracketry.llm import substring as s
@@ -98,14 +99,25 @@ def order_by_text(rows):
 
 
 def test_pairs_of_hashes_are_told_apart():
-    import numpy as np
-
     rng = random.Random(8)
     pairs = [(rng.randrange(6), rng.randrange(4), rng.randrange(9)) for _ in range(200)]
     h, c, owner = (np.array(x, t) for x, t in zip(zip(*pairs, strict=True), (np.uint64, np.uint64, np.int64), strict=True))
-    some = {(a, b) for a, b, _ in pairs[:8]}
-    known = s.pair_known(h, c, np.array([a for a, _ in some], np.uint64), np.array([b for _, b in some], np.uint64))
-    assert known.tolist() == [(a, b) in some for a, b, _ in pairs]
-    least, first = s.least_of(h, c, owner)
+    least, number, first = s.least_of(h, c, owner)
     assert least.tolist() == [min(o for a, b, o in pairs if (a, b) == p[:2]) for p in pairs]
-    assert [(int(h[i]), int(c[i])) for i in first] == sorted({p[:2] for p in pairs})
+    assert sorted((int(h[i]), int(c[i])) for i in first) == sorted({p[:2] for p in pairs}) and h[first].tolist() == sorted(h[first].tolist())
+    assert all(pairs[first[k]][:2] == p[:2] for k, p in zip(number, pairs, strict=True))
+
+
+def test_packed_numbers_come_back():
+    rng = np.random.default_rng(7)
+    for size, most in ((0, 9), (1, 1 << 63), (5, 10), (3000, 1 << 40), (3000, 4000), (70000, 1 << 63)):
+        values = np.sort(rng.integers(0, most, size, dtype=np.uint64))
+        assert (s.unpacked(s.packed(values)) == values).all() and len(s.unpacked(s.packed(values))) == size
+        assert (s.distinct(values) == np.unique(values)).all()
+    assert s.unpacked(s.packed(np.array([7, 7, (1 << 64) - 1], np.uint64))).tolist() == [7, 7, (1 << 64) - 1]
+    spread = np.sort(rng.integers(0, 1 << 41, 1 << 19, dtype=np.uint64))
+    assert len(s.packed(spread)) * 8 / len(spread) < 25
+    counts = rng.geometric(0.8, 5000) - 1
+    assert (s.unsparse(s.sparse(counts)) == counts).all()
+    some = values[::9]
+    assert s.maybe_known(some, values).all() and s.maybe_known(rng.integers(0, 1 << 62, 9999, dtype=np.uint64), some).mean() < 0.1
