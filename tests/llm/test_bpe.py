@@ -60,3 +60,10 @@ def test_columns(spark):
     nothing = docs.limit(0)
     assert bpe.encode_documents(nothing, PATH).collect() == []
     assert spark.range(1).select(bpe.Bpe(spark, PATH).decode(F.lit(None).cast("array<int>")).alias("t")).first().t == ""
+
+
+def test_columns_of_the_same_names_give_way(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", "y", "z")], "doc_id long, text string, token_ids string, decoded string, __coded string")
+    out = bpe.code_documents(docs, PATH)
+    assert out.columns == ["doc_id", "text", "__coded", "token_ids", "decoded"]
+    assert [(r["__coded"], r.decoded, len(r.token_ids)) for r in out.collect()] == [("z", "a b", 2)]

@@ -36,3 +36,12 @@ def test_filter_keeps_columns_that_clash(spark):
 def test_no_python_in_the_plan(spark, sf):
     plan = q.op5_quality(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_empty_table_and_columns_of_measures(spark):
+    docs = spark.createDataFrame([(1, "one two", "x", "y", "z")], "doc_id long, text string, n_words string, __words string, __doc string")
+    out = q.measured(docs)
+    assert out.columns == ["doc_id", "text", "__words", "__doc", *q.MEASURES]
+    assert [(r.n_words, r["__words"], r["__doc"]) for r in out.collect()] == [(2, "y", "z")]
+    assert q.quality_filter(docs).columns == docs.columns
+    assert q.measured(docs.limit(0)).collect() == [] and q.quality_filter(docs.limit(0)).collect() == []
