@@ -43,8 +43,9 @@ def reference_scores(rows: DataFrame) -> DataFrame:
 
 
 def intervals(rows: DataFrame, draws: DataFrame, value: Callable[[Column | None], Column], alpha: float = 0.05) -> DataFrame:
-    """(point, low, high) of an aggregate under resampling. draws: (b, row_id, m); value: the aggregate given weights."""
+    """(point, low, high) of an aggregate under resampling. draws: (b, row_id), a row for each draw, or with m how often; value: the aggregate given weights."""
     point = rows.agg(value(None).alias("point"))
+    draws = draws if "m" in draws.columns else draws.withColumn("m", F.lit(1))
     boot = draws.join(rows, "row_id").groupBy("b").agg(value(F.col("m")).alias("v"))
     bounds = boot.agg(F.percentile("v", F.lit(alpha / 2)).alias("low"), F.percentile("v", F.lit(1 - alpha / 2)).alias("high"))
     return point.crossJoin(bounds)
@@ -69,3 +70,25 @@ def majority_vote(votes: DataFrame, rows: DataFrame) -> DataFrame:
 
 def soft_vote(probas: DataFrame) -> DataFrame:
     return probas.groupBy("row_id").agg(F.avg("proba").alias("p"))
+
+
+def paired_differences(rows: DataFrame, draws: DataFrame, models: list[str], alpha: float = 0.05) -> DataFrame:
+    """(model, metric, score, delta, low, high, verdict) of each model against the first, on the same draws. rows: (row_id, y, models); draws: (b, row_id)."""
+    from bracketry.functions.scalars import verdict
+
+    base, rest = models[0], models[1:]
+    name = lambda model, metric: f"{models.index(model)}_{metric}"
+    y = F.col("y")
+    value = lambda model, f: f(y, F.col(model))
+    scored = rows.agg(*[value(m, f).alias(name(m, n)) for m in models for n, f, _ in METRICS])
+    boot = draws.join(rows, "row_id").groupBy("b").agg(*[(value(m, f) - value(base, f)).alias(name(m, n)) for m in rest for n, f, _ in METRICS])
+    bounds = boot.agg(*[F.struct(F.percentile(name(m, n), F.lit(alpha / 2)).alias("low"), F.percentile(name(m, n), F.lit(1 - alpha / 2)).alias("high")).alias(f"ci_{name(m, n)}") for m in rest for n, _, _ in METRICS])
+    both = scored.crossJoin(bounds)
+    out = []
+    for m in models:
+        for n, _, lower in METRICS:
+            delta = F.col(name(m, n)) - F.col(name(base, n))
+            ci = F.col(f"ci_{name(m, n)}") if m != base else F.struct(F.lit(None).cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+            said = verdict(delta, ci["low"], ci["high"], F.lit(lower)) if m != base else F.lit(None).cast("string")
+            out.append(F.struct(F.lit(m).alias("model"), F.lit(n).alias("metric"), F.col(name(m, n)).alias("score"), (delta if m != base else F.lit(None).cast("double")).alias("delta"), ci["low"].alias("low"), ci["high"].alias("high"), said.alias("verdict")))
+    return both.select(F.inline(F.array(*out)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,8 @@ def extrapolation(train: DataFrame, asked: DataFrame, names: list[str]) -> DataF
     limits = train.agg(*[F.percentile(F.abs(n), F.lit(0.99)).alias(n) for n in names]).select(F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("p99")) for n in names])))
     long = asked.select("row_id", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in names])))
     return long.join(F.broadcast(limits), "feature").where((F.abs("value") > F.col("p99")) & (F.col("value") != 0))
+
+
+def same(a: Column, b: Column) -> Column:
+    """Equality for which two missing values are equal, as are two that aren't numbers."""
+    return a.eqNullSafe(b)

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
 
 # Step, start and scale of the ratings.
 K, START, SCALE = 24.0, 1500.0, 400.0
@@ -60,3 +61,12 @@ def latest(ratings: DataFrame) -> DataFrame:
 def as_of(ratings: DataFrame, day: str) -> DataFrame:
     """Each entity's rating from bouts strictly before a day."""
     return latest(ratings.where(F.col("dt") < F.lit(day).cast("date")))
+
+
+def as_of_days(ratings: DataFrame, asked: DataFrame) -> DataFrame:
+    """(ent, dt, elo_pre): the rating of each asked entity and day from bouts strictly before the day; missing before its first. Days of bouts and asked days go through one window."""
+    ends = ratings.groupBy("ent", "dt").agg(F.max_by("elo_post", "seq").alias("end")).withColumn("is_asked", F.lit(False))
+    days = ends.unionByName(asked.select("ent", "dt").distinct().withColumns({"end": F.lit(None).cast("double"), "is_asked": F.lit(True)}))
+    days = days.groupBy("ent", "dt").agg(F.max("end").alias("end"), F.max("is_asked").alias("is_asked"))
+    before = W.Window.partitionBy("ent").orderBy("dt").rowsBetween(W.Window.unboundedPreceding, -1)
+    return days.withColumn("elo_pre", F.last("end", ignorenulls=True).over(before)).where("is_asked").select("ent", "dt", "elo_pre")

@@ -49,21 +49,26 @@ def walk_forward(rows: DataFrame, folds: int = 8, least_share: float = 0.5) -> D
     return spread.withColumns({"fold": F.col("f.fold"), "role": role}).where("role IS NOT NULL").drop("f")
 
 
-def numbered(rows: DataFrame, key: str, width: int = 4096) -> DataFrame:
-    """rows with row_id 0 .. n - 1 in the order of an integer key: a running sum over ranges of the key, and a number within each."""
+def numbered(rows: DataFrame, key: str, width: int = 4096, by: tuple[str, ...] = (), ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows with row_id 0 .. n - 1 in the order of an integer key and then of ties, anew for each value of by: a running sum over ranges of the key, and a number within each."""
     from pyspark.sql import window as W
 
     parts = rows.withColumn("__part", F.coalesce(F.floor(F.col(key) / width), F.lit(-(1 << 62))))
-    before = W.Window.orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)
-    sums = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inner = F.row_number().over(W.Window.partitionBy("__part").orderBy(key)) - 1
-    return parts.join(sums, "__part").withColumn("row_id", (F.col("__before") + inner).cast("long")).drop("__part", "__before")
+    before = W.Window.partitionBy(*by).orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)
+    sums = parts.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n")).select(*by, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inner = F.row_number().over(W.Window.partitionBy(*by, "__part").orderBy(key, *ties)) - 1
+    return parts.join(sums, [*by, "__part"]).withColumn("row_id", (F.col("__before") + inner).cast("long")).drop("__part", "__before")
+
+
+def drawn(rows: DataFrame, n: int, replicates: int, seed: str = "7") -> DataFrame:
+    """(b, row_id): the row of 0 .. n - 1 that each of n draws of a replicate takes; no shuffle."""
+    places = rows.select(F.col("row_id").alias("place")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    return places.select("b", F.pmod(draw(seed, F.col("b"), F.col("place")), F.lit(n)).alias("row_id"))
 
 
 def bootstrap(rows: DataFrame, n: int, replicates: int, seed: str = "7") -> DataFrame:
     """(b, row_id, m): how often replicate b draws each row of 0 .. n - 1; rows it never draws are absent (out of bag)."""
-    places = rows.select(F.col("row_id").alias("place")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return places.select("b", F.pmod(draw(seed, F.col("b"), F.col("place")), F.lit(n)).alias("row_id")).groupBy("b", "row_id").agg(F.count(F.lit(1)).alias("m"))
+    return drawn(rows, n, replicates, seed).groupBy("b", "row_id").agg(F.count(F.lit(1)).alias("m"))
 
 
 def out_of_bag(rows: DataFrame, drawn: DataFrame, replicates: int) -> DataFrame:

@@ -18,8 +18,8 @@ from pyspark.sql import window as W
 from bracketry.functions.scalars import binary_entropy, draw
 from bracketry.session import checkpointed
 
-#: Ranges that a feature's values are cut into for the running sums; digits of a gain that ties are judged by.
-RANGES, DIGITS = 32, 9
+#: Ranges that a feature's values are cut into for the running sums; digits of a gain that is written down, and those that splits are ranked by: gains nearer than TIE are ties.
+RANGES, DIGITS, RANKED, TIE = 32, 9, 12, 1e-12
 
 NODES = "tree_id int, node_id long, feature int, threshold double, is_leaf boolean, prediction int, proba double, n long, gain double"
 
@@ -39,7 +39,7 @@ def information_gain(rows: DataFrame, split: str, label: str) -> DataFrame:
 
 
 def cuts(rows: DataFrame, min_leaf: int = 1, features: Column | None = None) -> DataFrame:
-    """All admissible cuts (tree_id, node_id, feature, threshold, gain, n, pos) of rows (tree_id, node_id, x, y, m). features: a boolean over feature, tree_id and node_id."""
+    """All admissible cuts (tree_id, node_id, feature, threshold, gain, n, pos), gains as they are, of rows (tree_id, node_id, x, y, m). features: a boolean over feature, tree_id and node_id."""
     long = rows.select("tree_id", "node_id", F.posexplode("x").alias("feature", "v"), "y", "m")
     if features is not None:
         long = long.where(features)
@@ -62,22 +62,24 @@ def cuts(rows: DataFrame, min_leaf: int = 1, features: Column | None = None) ->
     middle = (F.col("v") + following) / 2
     gain = binary_entropy(F.col("total_pos") / F.col("total")) - (left * binary_entropy(left_pos / left) + right * binary_entropy(right_pos / right)) / F.col("total")
     return placed.where(following.isNotNull() & (left >= min_leaf) & (right >= min_leaf)).select(
-        *key, F.when(middle >= following, F.col("v")).otherwise(middle).alias("threshold"), F.round(gain, DIGITS).alias("gain"), F.col("total").alias("n"), F.col("total_pos").alias("pos")
+        *key, F.when(middle >= following, F.col("v")).otherwise(middle).alias("threshold"), gain.alias("gain"), F.col("total").alias("n"), F.col("total_pos").alias("pos")
     )
 
 
 def best_split(rows: DataFrame, min_leaf: int = 1, features: Column | None = None) -> DataFrame:
-    """The cut of most gain of each node, if any gains; first feature, then lowest threshold wins ties."""
-    best = F.min(F.struct((-F.col("gain")).alias("loss"), "feature", "threshold")).alias("b")
+    """The cut of most gain of each node, if any gains; of gains nearer than TIE the first feature, then the lowest threshold."""
+    best = F.min(F.struct((-F.round("gain", RANKED)).alias("loss"), "feature", "threshold")).alias("b")
     found = cuts(rows, min_leaf, features).groupBy("tree_id", "node_id").agg(best)
-    return found.where("b.loss < 0").select("tree_id", "node_id", "b.feature", "b.threshold", (-F.col("b.loss")).alias("gain"))
+    return found.where("b.loss < 0").select("tree_id", "node_id", "b.feature", "b.threshold", F.round(-F.col("b.loss"), DIGITS).alias("gain"))
 
 
-def root_ties(rows: DataFrame, within: float = 1e-12) -> DataFrame:
-    """(feature, best, ties): each feature's best gain at the root, and its cuts within a width of the best of all."""
-    every = cuts(rows)
-    top = every.agg(F.max("gain").alias("top"))
-    return every.crossJoin(F.broadcast(top)).groupBy("feature").agg(F.max("gain").alias("best"), F.count_if(F.col("gain") >= F.col("top") - within).alias("ties"))
+def root_ties(rows: DataFrame, min_leaf: int = 1, within: float = TIE) -> DataFrame:
+    """(feature, threshold, best, tied): each feature's best cut at the root, the lowest of equals, and whether its gain is within a width of the best of all."""
+    best = F.min(F.struct((-F.round("gain", RANKED)).alias("loss"), "threshold", "gain")).alias("b")
+    found = cuts(rows, min_leaf).groupBy("feature").agg(best).select("feature", "b.threshold", F.col("b.gain").alias("best"))
+    # a row for each feature
+    top = found.agg(F.max("best").alias("top"))
+    return found.crossJoin(F.broadcast(top)).select("feature", "threshold", "best", (F.col("best") >= F.col("top") - within).alias("tied"))
 
 
 def subset(k: int, columns: int, seed: str = "3") -> Column:
@@ -97,8 +99,10 @@ def subset_size(rule: str | int | None, columns: int) -> int:
     return min(columns, int(rule))
 
 
-def grow(rows: DataFrame, columns: int, max_depth: int, min_split: int = 2, min_leaf: int = 1, rule: str | int | None = None, keep=None) -> DataFrame:
-    """The node table of every tree of rows (tree_id, x, y, m). Lineage is cut between levels (keep: DataFrame -> DataFrame), so plans stay small and lost executors cost no regrowth."""
+def grow(rows: DataFrame, columns: int, max_depth: int, min_split: int = 2, min_leaf: int = 1, rule: str | int | None = None, keep=None, allowed: Column | None = None) -> DataFrame:
+    """The node table of every tree of rows (tree_id, x, y, m). allowed: a boolean over tree_id and feature, where trees see some features only. Lineage is cut between levels (keep: DataFrame -> DataFrame), so plans stay small and lost executors cost no regrowth."""
+    if rule is not None and allowed is not None:
+        raise ValueError("a rule draws among all features: give rule or allowed")
     keep = keep or checkpointed
     k = subset_size(rule, columns)
     live = rows.select("tree_id", F.lit(0).cast("long").alias("node_id"), "x", "y", "m")
@@ -110,7 +114,7 @@ def grow(rows: DataFrame, columns: int, max_depth: int, min_split: int = 2, min_
         if depth == max_depth:
             found = open_.limit(0).selectExpr("tree_id", "node_id", "0 AS feature", "0D AS threshold", "0D AS gain")
         else:
-            found = keep(best_split(live.join(open_, ["tree_id", "node_id"], "left_semi"), min_leaf, subset(k, columns) if k < columns else None))
+            found = keep(best_split(live.join(open_, ["tree_id", "node_id"], "left_semi"), min_leaf, subset(k, columns) if k < columns else allowed))
         level = totals.join(found, ["tree_id", "node_id"], "left").select(
             "tree_id", "node_id", F.col("feature").cast("int").alias("feature"), "threshold", F.col("feature").isNull().alias("is_leaf"),
             F.when(2 * F.col("pos") > F.col("n"), 1).otherwise(0).alias("prediction"), (F.col("pos") / F.col("n")).alias("proba"), F.col("n").cast("long").alias("n"), "gain",
@@ -176,3 +180,58 @@ def print_tree(nodes: DataFrame, names: list[str], tree_id: int = 0, levels: int
         return [f"{indent}{names[r.feature]} <= {r.threshold:.4g} (gain={r.gain:.4f}, n={r.n})", *lines(2 * i + 1, indent + "  "), *lines(2 * i + 2, indent + "  ")]
 
     return "\n".join(lines(0, ""))
+
+
+class DecisionTree:
+    """One tree over rows (row_id, x, y): fit, then predict, predict_proba, score, and its shape."""
+
+    def __init__(self, max_depth: int = 12, min_samples_split: int = 2, min_samples_leaf: int = 1):
+        self.max_depth, self.min_split, self.min_leaf = max_depth, min_samples_split, min_samples_leaf
+        self.nodes: DataFrame | None = None
+
+    def fit(self, rows: DataFrame) -> DecisionTree:
+        """Labels other than 0 and 1 raise."""
+        label = F.when(F.col("y").isin(0, 1), F.col("y")).otherwise(F.raise_error(F.concat(F.lit("label is not 0 or 1: "), F.coalesce(F.col("y").cast("string"), F.lit("none")))))
+        columns = rows.select(F.size("x").alias("k")).first()
+        one = rows.select(F.lit(0).alias("tree_id"), "x", label.cast("int").alias("y"), F.lit(1).alias("m"))
+        self.nodes = grow(one, columns.k if columns else 0, self.max_depth, self.min_split, self.min_leaf)
+        return self
+
+    def _fitted(self) -> DataFrame:
+        if self.nodes is None:
+            raise ValueError("the tree has not been fitted")
+        return self.nodes
+
+    def _leaves(self, rows: DataFrame) -> DataFrame:
+        return predict(rows, self._fitted(), self.max_depth)
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """(row_id, prediction)."""
+        return self._leaves(rows).select("row_id", "prediction")
+
+    def predict_proba(self, rows: DataFrame) -> DataFrame:
+        """(row_id, proba): the share of label 1 in the row's leaf."""
+        return self._leaves(rows).select("row_id", "proba")
+
+    def score(self, rows: DataFrame) -> float | None:
+        """Accuracy; none without rows."""
+        return self.predict(rows).join(rows.select("row_id", "y"), "row_id").agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0]
+
+    @property
+    def depth(self) -> int:
+        return shape(self._fitted()).first().depth
+
+    @property
+    def n_leaves(self) -> int:
+        return shape(self._fitted()).first().leaves
+
+    @property
+    def n_internal(self) -> int:
+        return shape(self._fitted()).first().internal
+
+
+def chosen_depth(scores: DataFrame) -> DataFrame:
+    """scores (depth, accuracy) with chosen: the depth of most accuracy, the shallowest of equals."""
+    # a row for each depth that is tried
+    best = scores.agg(F.min(F.struct((-F.col("accuracy")).alias("loss"), "depth")).alias("b")).select(F.col("b.depth").alias("of"))
+    return scores.crossJoin(F.broadcast(best)).select("depth", "accuracy", (F.col("depth") == F.col("of")).alias("chosen"))

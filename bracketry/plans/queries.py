@@ -93,12 +93,16 @@ def serve_default_agreement(spark, sf_dir):
     return bouts(spark, sf_dir).agg(rnd(F.avg((r == matchup.DEFAULT_ROUNDS).cast("double"))).alias("agreement"))
 
 
-@query("cut_burden", cte("entity", "bout") + """
-SELECT bout_id, abs(a.weight - 135) - abs(b.weight - 135) AS cut_burden, a.weight - b.weight AS weight_diff FROM bout JOIN entity a ON a.id = e1 JOIN entity b ON b.id = e2""")
+#: The limit of each class of the fixture, written out.
+LIMIT = "CASE cls WHEN 'UFC Lightweight Title Bout' THEN 155 WHEN 'Women''s Strawweight Bout' THEN 115 WHEN 'Light Heavyweight Bout' THEN 205 WHEN 'Bantamweight Bout' THEN 135 END"
+
+
+@query("cut_burden", cte("entity", "bout") + f"""
+SELECT bout_id, abs(a.weight - {LIMIT}) - abs(b.weight - {LIMIT}) AS cut_burden, a.weight - b.weight AS weight_diff FROM bout JOIN entity a ON a.id = e1 JOIN entity b ON b.id = e2""")
 def cut_burden(spark, sf_dir):
     both = matchup.with_bios(bouts(spark, sf_dir).withColumnsRenamed({"e1": "a", "e2": "b"}), entities(spark, sf_dir))
     a, b = F.col("a_weight"), F.col("b_weight")
-    return both.select("bout_id", S.cut_burden_diff(a, b, F.lit(135.0)).alias("cut_burden"), (a - b).alias("weight_diff"))
+    return both.select("bout_id", S.cut_burden_diff(a, b, S.class_lbs(F.col("cls"))).alias("cut_burden"), (a - b).alias("weight_diff"))
 
 
 LADDER = ", ".join(f"({i}, '{w}', {lbs})" for i, (w, lbs) in enumerate(S.DIVISION_LBS.items()))
@@ -263,11 +267,34 @@ def resolution_counts(spark, sf_dir):
     return found.agg(F.count(F.lit(1)).alias("raw"), F.count("id").alias("resolved"), F.count_if(F.col("id").isNull()).alias("dropped"))
 
 
-@query("naive_name_join", f"WITH {PROFILES}, s AS (SELECT s_suppkey AS k, p.name FROM supplier JOIN profile p ON p.id = s_suppkey) SELECT k, id, weight FROM s LEFT JOIN profile USING (name)")
+@query("naive_name_join", f"WITH {PROFILES}, s AS (SELECT s_suppkey AS k, p.name AS n1, q.name AS n2 FROM supplier JOIN profile p ON p.id = s_suppkey LEFT JOIN profile q ON q.id = s_suppkey + 1) SELECT k, a.id AS id1, a.weight AS weight1, b.id AS id2, b.weight AS weight2 FROM s LEFT JOIN profile a ON a.name = n1 LEFT JOIN profile b ON b.name = n2")
 def naive_name_join(spark, sf_dir):
-    known = profiles(spark, sf_dir)
-    some = table(spark, sf_dir, "supplier").join(known, F.col("id") == F.col("s_suppkey")).select(F.col("s_suppkey").alias("k"), "name")
-    return some.join(known.select("name", "id", "weight"), "name", "left").select("k", "id", "weight")
+    known = profiles(spark, sf_dir).select("id", "name", "weight")
+    named_ = lambda shift, name: table(spark, sf_dir, "supplier").join(known, F.col("id") == F.col("s_suppkey") + shift).select(F.col("s_suppkey").alias("k"), F.col("name").alias(name))
+    both = named_(0, "n1").join(named_(1, "n2"), "k", "left")
+    return resolve.join_by_name(both, known, {"n1": "one_", "n2": "two_"}).select("k", F.col("one_id").alias("id1"), F.col("one_weight").alias("weight1"), F.col("two_id").alias("id2"), F.col("two_weight").alias("weight2"))
+
+
+@query("entity_lookup", f"WITH {PROFILES}, q AS (SELECT s_suppkey AS k, p.name FROM supplier JOIN profile p ON p.id = s_suppkey) SELECT DISTINCT p.name, p.id, p.weight FROM q JOIN profile p USING (name)")
+def entity_lookup(spark, sf_dir):
+    """Names to all their ids, and those ids to their profiles."""
+    known = profiles(spark, sf_dir).select("id", "name", "weight")
+    some = table(spark, sf_dir, "supplier").join(known, F.col("id") == F.col("s_suppkey")).select("name")
+    return resolve.lookup(resolve.candidates(some, known).select("id"), known).select("name", "id", "weight")
+
+
+@query("stats_join", "SELECT o_orderkey AS bout_id, o_totalprice AS price, n::BIGINT AS n, round(q, 6) AS q FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n, sum(l_quantity) AS q FROM lineitem WHERE l_quantity > 30 GROUP BY 1) ON l_orderkey = o_orderkey")
+def stats_join(spark, sf_dir):
+    """Bouts and their statistics, one row of each; a repeated key would raise."""
+    left = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("bout_id"), F.col("o_totalprice").alias("price"))
+    right = table(spark, sf_dir, "lineitem").where("l_quantity > 30").groupBy(F.col("l_orderkey").alias("bout_id")).agg(F.count(F.lit(1)).alias("n"), rnd(F.sum("l_quantity")).alias("q"))
+    return history.with_stats(left, right)
+
+
+@query("null_safe_equality", cte("bout") + " SELECT 'q' AS stat, count(*) FILTER (WHERE q1 IS NOT DISTINCT FROM q2)::BIGINT AS same, count(*)::BIGINT AS n FROM bout UNION ALL SELECT 'td', count(*) FILTER (WHERE td1 IS NOT DISTINCT FROM td2), count(*) FROM bout")
+def null_safe_equality(spark, sf_dir):
+    counts = bouts(spark, sf_dir).agg(*[F.count_if(quality.same(F.col(f"{s}1"), F.col(f"{s}2"))).alias(s) for s in ("q", "td")], F.count(F.lit(1)).alias("n"))
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(s).alias("stat"), F.col(s).alias("same"), "n") for s in ("q", "td")])))
 
 
 @query("join_inflation", f"WITH {PROFILES}, s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 = 0 THEN 'nobody' ELSE p.name END AS name FROM supplier JOIN profile p ON p.id = s_suppkey), j AS (SELECT k, id FROM s LEFT JOIN profile USING (name)) SELECT count(*)::BIGINT AS n_out, count(DISTINCT k)::BIGINT AS n_in, count(*) FILTER (WHERE id IS NULL)::BIGINT AS unmatched FROM j")
@@ -336,10 +363,12 @@ def position_bias(spark, sf_dir):
 
 DRAW = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 COIN = DRAW.format("'42:' || bout_id") + " < 2147483648"
-FEATURES = f""", side AS (SELECT *, CASE WHEN {COIN} THEN e1 ELSE e2 END AS a, CASE WHEN {COIN} THEN e2 ELSE e1 END AS b FROM bout WHERE winner IS NOT NULL),
-feat AS (SELECT bout_id, dt, cls, s.a, s.b, x.weight - y.weight AS wd, abs(x.weight - 135) - abs(y.weight - 135) AS cb, x.reach - y.reach AS rd,
+ROUNDS = "try_cast(nullif(regexp_extract(layout, '^\\s*(\\d+)\\s*Rnd', 1), '') AS DOUBLE)"
+FEATURES = f""", side AS (SELECT *, {COIN} AS a_is_first, CASE WHEN {COIN} THEN e1 ELSE e2 END AS a, CASE WHEN {COIN} THEN e2 ELSE e1 END AS b FROM bout WHERE winner IS NOT NULL),
+feat AS (SELECT bout_id, dt, cls, s.a, s.b, a_is_first, method, end_round, x.weight - y.weight AS wd, abs(x.weight - {LIMIT}) - abs(y.weight - {LIMIT}) AS cb, x.reach - y.reach AS rd, x.height - y.height AS hd,
   date_diff('day', x.born, dt) / 365.25::DOUBLE - date_diff('day', y.born, dt) / 365.25::DOUBLE AS ad,
-  CASE WHEN trim(x.stance) = '' OR trim(y.stance) = '' THEN 'Unknown' WHEN x.stance = y.stance THEN 'Same' ELSE 'Opposite' END AS stance_matchup, (winner = s.a)::INTEGER AS label
+  CASE WHEN trim(x.stance) = '' OR trim(y.stance) = '' THEN 'Unknown' WHEN x.stance = y.stance THEN 'Same' ELSE 'Opposite' END AS stance_matchup,
+  cls LIKE '%Title%' AS is_title_bout, cls LIKE 'Women%' AS is_womens_bout, cls = 'Catch Weight Bout' AS is_nonstandard_weight, {ROUNDS} AS rounds, (winner = s.a)::INTEGER AS label
   FROM side s LEFT JOIN entity x ON x.id = s.a LEFT JOIN entity y ON y.id = s.b)"""
 
 
@@ -347,21 +376,57 @@ def feature_table(spark, sf_dir):
     return matchup.feature_table(bouts(spark, sf_dir), entities(spark, sf_dir))
 
 
-@query("coin_flip_sides", cte("entity", "bout") + FEATURES + " SELECT bout_id, a, b, label FROM feat")
+@query("coin_flip_sides", cte("entity", "bout") + FEATURES + " SELECT bout_id, a, b, a_is_first, label FROM feat")
 def coin_flip_sides(spark, sf_dir):
-    return feature_table(spark, sf_dir).select("bout_id", "a", "b", "label")
+    return feature_table(spark, sf_dir).select("bout_id", "a", "b", "a_is_first", "label")
 
 
-@query("feature_table", cte("entity", "bout") + FEATURES + """ SELECT bout_id, coalesce(wd, 0) AS weight_diff, wd IS NULL AS weight_diff_missing, coalesce(cb, 0) AS cut_burden_diff, round(coalesce(rd, 0), 6) AS reach_diff,
-  rd IS NULL AS reach_diff_missing, round(coalesce(ad, 0), 6) AS age_diff, stance_matchup, label FROM feat""")
+@query("feature_table", cte("entity", "bout") + FEATURES + """ SELECT bout_id, dt, cls, a, b, a_is_first, method, end_round, coalesce(wd, 0) AS weight_diff, wd IS NULL AS weight_diff_missing, coalesce(cb, 0) AS cut_burden_diff, cb IS NULL AS cut_burden_diff_missing,
+  round(coalesce(rd, 0), 6) AS reach_diff, rd IS NULL AS reach_diff_missing, coalesce(hd, 0) AS height_diff, hd IS NULL AS height_diff_missing, round(coalesce(ad, 0), 6) AS age_diff, ad IS NULL AS age_diff_missing,
+  stance_matchup, is_title_bout, is_womens_bout, is_nonstandard_weight, coalesce(rounds, 3) AS scheduled_rounds, rounds IS NULL AS scheduled_rounds_missing, label FROM feat""")
 def feature_table_query(spark, sf_dir):
-    return feature_table(spark, sf_dir).select("bout_id", "weight_diff", "weight_diff_missing", "cut_burden_diff", rnd(F.col("reach_diff")).alias("reach_diff"), "reach_diff_missing", rnd(F.col("age_diff")).alias("age_diff"), "stance_matchup", "label")
+    return feature_table(spark, sf_dir).withColumns({c: rnd(F.col(c)) for c in ("reach_diff", "age_diff")})
 
 
-@query("model_matrix", cte("entity", "bout") + FEATURES + """ SELECT bout_id, coalesce(wd, 0) AS x0, (wd IS NULL)::INTEGER::DOUBLE AS x1, (stance_matchup = 'Same')::INTEGER::DOUBLE AS x8, (stance_matchup = 'Unknown')::INTEGER::DOUBLE AS x10, label AS y FROM feat""")
+MATRIX = ["round(coalesce(rd, 0), 6)", "coalesce(hd, 0)", "round(coalesce(ad, 0), 6)", "rd IS NULL", "hd IS NULL", "ad IS NULL", "stance_matchup = 'Same'", "stance_matchup = 'Unknown'", "is_title_bout", "is_womens_bout", "is_nonstandard_weight", "coalesce(rounds, 3)", "rounds IS NULL", "coalesce(wd, 0)", "wd IS NULL", "coalesce(cb, 0)", "cb IS NULL"]
+
+
+@query("model_matrix", cte("entity", "bout") + FEATURES + " SELECT bout_id, " + ", ".join(f"({e})::DOUBLE AS x{i}" for i, e in enumerate(MATRIX)) + ", label AS y FROM feat")
 def model_matrix(spark, sf_dir):
-    x = matchup.matrix(feature_table(spark, sf_dir))
-    return x.select("bout_id", *[F.get("x", i).alias(f"x{i}") for i in (0, 1, 8, 10)], "y")
+    names = matchup.feature_names(context=True, weight=True)
+    x = matchup.matrix(feature_table(spark, sf_dir), tuple(names))
+    return x.select("bout_id", *[(rnd(F.get("x", i)) if n in ("reach_diff", "age_diff") else F.get("x", i)).alias(f"x{i}") for i, n in enumerate(names)], "y")
+
+
+NAMED_BOUTS = f"""{cte("entity", "bout")}, profile AS (SELECT id, name || ' ' || (id % 200)::VARCHAR AS name, weight, reach, stance, born, height FROM entity),
+named AS (SELECT b.*, {LIMIT}::DOUBLE AS lim, x.name AS n1, y.name AS n2, w.name AS wn FROM bout b JOIN profile x ON x.id = e1 JOIN profile y ON y.id = e2 LEFT JOIN profile w ON w.id = winner),
+c AS (SELECT name, count(*) AS n FROM profile GROUP BY 1), ask AS (SELECT DISTINCT n1 AS name, lim FROM named UNION SELECT DISTINCT n2, lim FROM named),
+r AS (SELECT a.name, a.lim, c.n, p.id, abs(p.weight - a.lim) AS d, row_number() OVER (PARTITION BY a.name, a.lim ORDER BY CASE WHEN c.n = 1 THEN 0 ELSE abs(p.weight - a.lim) END NULLS LAST, p.id) AS rn FROM ask a JOIN c USING (name) JOIN profile p USING (name)),
+found AS (SELECT name, lim, CASE WHEN n = 1 OR d IS NOT NULL THEN id END AS id FROM r WHERE rn = 1),
+both_ AS (SELECT named.*, f.id AS i1, g.id AS i2 FROM named JOIN found f ON f.name = n1 AND f.lim IS NOT DISTINCT FROM named.lim JOIN found g ON g.name = n2 AND g.lim IS NOT DISTINCT FROM named.lim)"""
+
+
+def named_bouts(spark, sf_dir):
+    """The bouts with names for ids, the winner's too."""
+    named_ = profiles(spark, sf_dir).select("id", "name")
+    out = bouts(spark, sf_dir)
+    for column, name in (("e1", "n1"), ("e2", "n2"), ("winner", "wn")):
+        out = out.join(named_.select(F.col("id").alias(column), F.col("name").alias(name)), column, "left")
+    return out.select("bout_id", "dt", "cls", "n1", "n2", "wn", "method", "end_round", "layout")
+
+
+@query("feature_table_from_names", NAMED_BOUTS + """ SELECT bout_id, CASE WHEN coin THEN i1 ELSE i2 END AS a, CASE WHEN coin THEN i2 ELSE i1 END AS b, (wn = CASE WHEN coin THEN n1 ELSE n2 END)::INTEGER AS label,
+  coalesce(CASE WHEN coin THEN x.weight - y.weight ELSE y.weight - x.weight END, 0) AS weight_diff, coalesce(CASE WHEN coin THEN x.height - y.height ELSE y.height - x.height END, 0) AS height_diff
+  FROM (SELECT *, """ + COIN + """ AS coin FROM both_ WHERE i1 IS NOT NULL AND i2 IS NOT NULL AND wn IN (n1, n2)) JOIN profile x ON x.id = i1 JOIN profile y ON y.id = i2""")
+def feature_table_from_names(spark, sf_dir):
+    """Names resolved by weight, unresolved and undecided bouts dropped, then the feature table: one chain."""
+    rows = matchup.build(named_bouts(spark, sf_dir), profiles(spark, sf_dir))[0]
+    return rows.select("bout_id", "a", "b", "label", "weight_diff", "height_diff")
+
+
+@query("build_counters", NAMED_BOUTS + " SELECT count(*)::BIGINT AS raw, count(*) FILTER (WHERE i1 IS NOT NULL AND i2 IS NOT NULL)::BIGINT AS resolved, count(*) FILTER (WHERE i1 IS NOT NULL AND i2 IS NOT NULL AND wn IN (n1, n2))::BIGINT AS final FROM both_")
+def build_counters(spark, sf_dir):
+    return matchup.build(named_bouts(spark, sf_dir), profiles(spark, sf_dir))[1]
 
 
 # ---- quality ----------------------------------------------------------------
@@ -404,9 +469,9 @@ def validate_append(spark, sf_dir):
     return quality.violations(b.where("dt >= DATE '1998-01-01'").unionByName(b.where("bout_id % 97 = 0")), b.where("dt < DATE '1998-06-01'"))
 
 
-@query("append_rows", "SELECT r_regionkey::BIGINT AS id, r_name AS name, NULL::DOUBLE AS weight FROM region UNION ALL SELECT p_partkey, p_name, p_size::DOUBLE FROM part WHERE p_partkey < 50")
+@query("append_rows", "SELECT r_regionkey::BIGINT AS id, r_name AS name, NULL::DOUBLE AS weight FROM region UNION ALL SELECT p_partkey, p_name, p_size::DOUBLE FROM part")
 def append_rows(spark, sf_dir):
-    old = table(spark, sf_dir, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("weight"))
+    old = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("weight"))
     new = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("id"), F.col("r_name").alias("name"), "r_regionkey")
     return old.unionByName(files.build_rows(new, old.schema))
 
@@ -418,12 +483,33 @@ def bio_stubs(spark, sf_dir):
     return files.stubs(table(spark, sf_dir, "region").select(F.col("r_name").alias("name")), known)
 
 
+def event_pages(spark, sf_dir):
+    """A page for each month of the events, with a table of its days: number, event and day as text."""
+    events = table(spark, sf_dir, "events").select(F.to_date("ts").alias("dt"), F.col("event_type").alias("name")).distinct()
+    cells = F.concat(F.lit("<tr><td>"), F.dayofmonth("dt"), F.lit("</td><td><a href='x'>"), F.col("name"), F.lit("</a></td><td>"), F.date_format("dt", "MMM d, yyyy"), F.lit("</td></tr><tr><td>no date</td></tr>"))
+    rows = events.groupBy(F.trunc("dt", "month").alias("key")).agg(F.array_join(F.sort_array(F.collect_list(cells)), "").alias("rows"))
+    return rows.select("key", F.concat(F.lit('<p>x</p><table class="wikitable sortable"><tr><th>#</th><th>Event</th><th>Date</th></tr>'), "rows", F.lit("</table>")).alias("html"))
+
+
 @query("new_events", "SELECT DISTINCT ts::DATE AS dt, event_type AS name FROM events WHERE ts::DATE > DATE '2024-01-10' ORDER BY 1, 2 LIMIT 20")
 def new_events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(F.to_date("ts").alias("dt"), F.col("event_type").alias("name")).where("dt > DATE '2024-01-10'").distinct().orderBy("dt", "name").limit(20)
+    """The first twenty events after a day, found in the tables of pages. The limit is the feature."""
+    return files.new_events(files.table_cells(event_pages(spark, sf_dir), "key", "html"), "2024-01-10", 20)
+
+
+@query("html_tables", """WITH s AS (SELECT s_nationkey AS key, s_name, s_acctbal, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS i FROM supplier)
+SELECT key, i::INTEGER AS row_no, 0::INTEGER AS cell_no, i::VARCHAR AS cell FROM s UNION ALL SELECT key, i, 1, s_name || ' & Co <x>' FROM s UNION ALL SELECT key, i, 2, CASE WHEN s_acctbal < 0 THEN 'owes' ELSE 'has' END FROM s
+UNION ALL SELECT DISTINCT key, 0, 0, 'No.' FROM s UNION ALL SELECT DISTINCT key, 0, 1, 'Name of it' FROM s""")
+def html_tables(spark, sf_dir):
+    place = F.row_number().over(W.Window.partitionBy("s_nationkey").orderBy("s_suppkey"))
+    rows = table(spark, sf_dir, "supplier").withColumn("i", place)
+    row = F.concat(F.lit("\n<tr class='r'><td>"), "i", F.lit("</td><td><a href=\"/x\">"), "s_name", F.lit("</a> &amp;\n Co &lt;x&gt;</td><td><b>"), F.when(F.col("s_acctbal") < 0, "owes").otherwise("has"), F.lit("</b></td></tr>"))
+    made = rows.groupBy(F.col("s_nationkey").alias("key")).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", row.alias("r")))), lambda x: x["r"]).alias("rows"))
+    pages = made.select("key", F.concat(F.lit("<table><tr><td>other</td></tr></table><table class='x' id=y class=\"wikitable\"><tr><th>No.</th><th>Name <i>of</i> it</th></tr>"), F.array_join("rows", ""), F.lit("</table>")).alias("html"))
+    return files.table_cells(pages, "key", "html").select("key", "row_no", "cell_no", "cell")
 
 
-@query("html_cells", "WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS c, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1), 1) AS i FROM pages) SELECT page_id, (i - 1)::INTEGER AS cell_no, regexp_replace(c, '<[^>]+>', '', 'g') AS cell FROM r WHERE NOT contains(c, '&')")
+@query("html_cells", "WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS c, generate_subscripts(regexp_extract_all(html, '<li>(.*?)</li>', 1), 1) AS i FROM pages) SELECT page_id, (i - 1)::INTEGER AS cell_no, replace(replace(replace(regexp_replace(c, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS cell FROM r")
 def html_cells(spark, sf_dir):
     cells = table(spark, sf_dir, "pages").select("page_id", F.posexplode(files.elements(F.col("html"), "li")).alias("cell_no", "c"))
     return cells.select("page_id", "cell_no", S.references(F.regexp_replace("c", "<[^>]+>", "")).alias("cell"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from bracketry.functions import scalars as S
-from bracketry.operators import matchup, metrics, quality, splits, tree
+from bracketry.operators import history, matchup, metrics, quality, rating, splits, tree
 from bracketry.plans.adapters import bouts, cte
 from bracketry.plans.queries import DRAW, FEATURES, feature_table, query, rnd
 from bracketry.session import checkpointed, table
@@ -40,14 +40,14 @@ def walk_forward(spark, sf_dir):
 
 
 def scored_sql() -> str:
-    return ", s0 AS (SELECT bout_id, (winner = e1)::INTEGER AS y, 1 / (1 + exp(-(coalesce(q1, 25) - coalesce(q2, 25)) / 20)) AS p, 1 / (1 + exp(-(coalesce(q1, 25) - coalesce(q2, 25)) / 60)) AS p2 FROM bout WHERE winner IS NOT NULL AND bout_id % 10 = 3), s AS (SELECT *, row_number() OVER (ORDER BY bout_id) - 1 AS row_id FROM s0), n AS (SELECT count(*) AS n FROM s)"
+    return ", s0 AS (SELECT bout_id, (winner = e1)::INTEGER AS y, 1 / (1 + exp(-(coalesce(q1, 25) - coalesce(q2, 25)) / 20)) AS p, 1 / (1 + exp(-(coalesce(q1, 25) - coalesce(q2, 25)) / 60)) AS p2 FROM bout WHERE winner IS NOT NULL), s AS (SELECT *, row_number() OVER (ORDER BY bout_id) - 1 AS row_id FROM s0), n AS (SELECT count(*) AS n FROM s)"
 
 
 def scored(spark, sf_dir):
-    """Labelled probabilities of two models. The tenth part of the bouts is what the SQL takes."""
+    """Labelled probabilities of two models for every decisive bout."""
     a, b = F.coalesce("q1", F.lit(25.0)), F.coalesce("q2", F.lit(25.0))
     p = lambda scale: 1 / (1 + F.exp(-(a - b) / scale))
-    rows = matchup.decisive(bouts(spark, sf_dir)).where("bout_id % 10 = 3").select("bout_id", (F.col("winner") == F.col("e1")).cast("int").alias("y"), p(20).alias("p"), p(60).alias("p2"))
+    rows = matchup.decisive(bouts(spark, sf_dir)).select("bout_id", (F.col("winner") == F.col("e1")).cast("int").alias("y"), p(20).alias("p"), p(60).alias("p2"))
     return splits.numbered(rows, "bout_id")
 
 
@@ -69,25 +69,33 @@ def reference_scores(spark, sf_dir):
     return metrics.reference_scores(scored(spark, sf_dir)).select(*[rnd(F.col(n)).alias(n) for n, _, _ in metrics.METRICS])
 
 
-BOOT = f", b AS (SELECT b, {DRAW.format("'7:' || b || ':' || row_id")} % (SELECT n FROM n) AS row_id FROM s, range(0, 40) t(b))"
+#: Replicates of the intervals, which is what the SQL beside them can bear (the operators take any number), and of the queries that list draws.
+REPLICATES, LISTED = 200, 20
 
 
-@query("bootstrap_draws", BOUT + scored_sql() + BOOT + " SELECT b::INTEGER AS b, row_id, count(*)::BIGINT AS m FROM b GROUP BY 1, 2")
+def boot_sql(replicates: int) -> str:
+    return f", b AS (SELECT b, {DRAW.format("'7:' || b || ':' || row_id")} % (SELECT n FROM n) AS row_id FROM s, range(0, {replicates}) t(b))"
+
+
+BOOT = boot_sql(REPLICATES)
+
+
+@query("bootstrap_draws", BOUT + scored_sql() + boot_sql(LISTED) + " SELECT b::INTEGER AS b, row_id, count(*)::BIGINT AS m FROM b GROUP BY 1, 2")
 def bootstrap_draws(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    return splits.bootstrap(rows, rows.count(), 40)
+    return splits.bootstrap(rows, rows.count(), LISTED)
 
 
-@query("out_of_bag", BOUT + scored_sql() + BOOT + " SELECT k.b::INTEGER AS b, count(*)::BIGINT AS n FROM (SELECT b, row_id FROM s, range(0, 40) t(b)) k LEFT JOIN (SELECT DISTINCT b, row_id FROM b) d ON d.b = k.b AND d.row_id = k.row_id WHERE d.b IS NULL GROUP BY 1")
+@query("out_of_bag", BOUT + scored_sql() + boot_sql(LISTED) + f" SELECT k.b::INTEGER AS b, count(*)::BIGINT AS n FROM (SELECT b, row_id FROM s, range(0, {LISTED}) t(b)) k LEFT JOIN (SELECT DISTINCT b, row_id FROM b) d ON d.b = k.b AND d.row_id = k.row_id WHERE d.b IS NULL GROUP BY 1")
 def out_of_bag(spark, sf_dir):
     rows = scored(spark, sf_dir)
-    return splits.out_of_bag(rows, splits.bootstrap(rows, rows.count(), 40), 40).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+    return splits.out_of_bag(rows, splits.bootstrap(rows, rows.count(), LISTED), LISTED).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("bootstrap_ci", BOUT + scored_sql() + BOOT + f", v AS (SELECT b, avg({loss_sql()}) AS v FROM b JOIN s USING (row_id) GROUP BY 1) SELECT round((SELECT avg({loss_sql()}) FROM s), 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
 def bootstrap_ci(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    out = metrics.intervals(rows, splits.bootstrap(rows, rows.count(), 40), lambda m: metrics.log_loss(F.col("y"), F.col("p"), m))
+    rows = checkpointed(scored(spark, sf_dir))
+    out = metrics.intervals(rows, splits.drawn(rows, rows.count(), REPLICATES), lambda m: metrics.log_loss(F.col("y"), F.col("p"), m))
     return out.select(*[rnd(F.col(c)).alias(c) for c in out.columns])
 
 
@@ -95,8 +103,8 @@ PAIRED = BOUT + scored_sql() + BOOT + f", v AS (SELECT b, avg({loss_sql()}) - av
 
 
 def paired(spark, sf_dir):
-    rows = scored(spark, sf_dir)
-    return metrics.intervals(rows, splits.bootstrap(rows, rows.count(), 40), lambda m: metrics.log_loss(F.col("y"), F.col("p"), m) - metrics.log_loss(F.col("y"), F.col("p2"), m))
+    rows = checkpointed(scored(spark, sf_dir))
+    return metrics.intervals(rows, splits.drawn(rows, rows.count(), REPLICATES), lambda m: metrics.log_loss(F.col("y"), F.col("p"), m) - metrics.log_loss(F.col("y"), F.col("p2"), m))
 
 
 @query("paired_ci", PAIRED + " SELECT round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high FROM i")
@@ -196,7 +204,7 @@ def cuts_sql(source: str, out: str, min_leaf: int) -> str:
 {out}_g AS (SELECT node, f, v, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS p FROM {out}_u GROUP BY 1, 2, 3),
 {out}_w AS (SELECT node, f, v, lead(v) OVER o AS nv, sum(n) OVER (o ROWS UNBOUNDED PRECEDING) AS ln, sum(p) OVER (o ROWS UNBOUNDED PRECEDING) AS lp, sum(n) OVER (PARTITION BY node, f) AS n, sum(p) OVER (PARTITION BY node, f) AS p FROM {out}_g WINDOW o AS (PARTITION BY node, f ORDER BY v)),
 {out} AS (SELECT node, f, CASE WHEN (v + nv) / 2 >= nv THEN v ELSE (v + nv) / 2 END AS thr, n, p,
-  round({ent('(p / n)')} - (ln * {ent('(lp / ln)')} + (n - ln) * {ent('((p - lp) / (n - ln))')}) / n, 9) AS gain FROM {out}_w WHERE nv IS NOT NULL AND ln >= {min_leaf} AND n - ln >= {min_leaf})"""
+  round({ent('(p / n)')} - (ln * {ent('(lp / ln)')} + (n - ln) * {ent('((p - lp) / (n - ln))')}) / n, 12) AS gain FROM {out}_w WHERE nv IS NOT NULL AND ln >= {min_leaf} AND n - ln >= {min_leaf})"""
 
 
 BEST = "{b} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, thr) AS rn FROM {c} WHERE gain > 0) WHERE rn = 1)"
@@ -208,9 +216,12 @@ def best_split(spark, sf_dir):
     return tree.best_split(rooted(learn_rows(spark, sf_dir)), min_leaf=5).select(F.col("feature").cast("int").alias("feature"), "threshold", rnd(F.col("gain")).alias("gain"))
 
 
-@query("root_ties", learn_sql() + ", r AS (SELECT 0 AS node, * FROM r0), " + cuts_sql("r", "c", 1) + " SELECT f::INTEGER AS feature, round(max(gain), 6) AS best, count(*) FILTER (WHERE gain >= (SELECT max(gain) FROM c) - 1e-12)::BIGINT AS ties FROM c GROUP BY 1")
+TIES = learn_sql() + ", r AS (SELECT 0 AS node, * FROM r0), " + cuts_sql("r", "c", 25).replace("round(", "(").replace(", 12) AS gain", ") AS gain")
+
+
+@query("root_ties", TIES + ", f AS (SELECT f, thr, gain FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY round(gain, 12) DESC, thr) AS rn FROM c) WHERE rn = 1) SELECT f::INTEGER AS feature, thr AS threshold, round(gain, 6) AS best, gain >= (SELECT max(gain) FROM f) - 1e-12 AS tied FROM f")
 def root_ties(spark, sf_dir):
-    return tree.root_ties(rooted(learn_rows(spark, sf_dir))).select(F.col("feature").cast("int").alias("feature"), rnd(F.col("best")).alias("best"), "ties")
+    return tree.root_ties(rooted(learn_rows(spark, sf_dir)), min_leaf=25).select(F.col("feature").cast("int").alias("feature"), "threshold", rnd(F.col("best")).alias("best"), "tied")
 
 
 DEPTH2 = ROOT + ", " + BEST.format(b="b", c="c") + """,
@@ -308,11 +319,12 @@ def oob_score(spark, sf_dir):
 
 @query("depth_sweep", None)
 def depth_sweep(spark, sf_dir):
-    """Validation accuracy of trees cut at each depth; one growth gives them all."""
+    """Validation accuracy of trees cut at each depth, and the depth that is chosen; one growth gives them all."""
     rows = learn_rows(spark, sf_dir).withColumn("valid", F.pmod(F.crc32(F.col("row_id").cast("string").cast("binary")), F.lit(5)) == 0)
     nodes = tree.grow(rooted(rows.where("NOT valid")).drop("node_id"), columns=2, max_depth=DEPTHS[-1], min_split=50, min_leaf=25)
     each = tree.at_depths(tree.landed(rows.where("valid"), nodes, DEPTHS[-1]), nodes, DEPTHS)
-    return each.join(rows.select("row_id", "y"), "row_id").groupBy("depth").agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy"))
+    scores = each.join(rows.select("row_id", "y"), "row_id").groupBy("depth").agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy"))
+    return tree.chosen_depth(scores)
 
 
 @query("trees_sweep", None)
@@ -329,12 +341,12 @@ def trees_sweep(spark, sf_dir):
 def run_walk_forward(spark, sf_dir):
     """Every fold refits each model: folds take the place of trees, so all folds of a model grow in one level-wise plan."""
     features = feature_table(spark, sf_dir)
-    names = tuple(matchup.feature_names())
+    names = tuple(matchup.feature_names(context=True, weight=True))
     dated = matchup.matrix(features, names).join(features.select("bout_id", "dt"), "bout_id").withColumnRenamed("bout_id", "row_id")
     folds = splits.walk_forward(checkpointed(dated)).withColumnRenamed("fold", "tree_id")
     test, out = folds.where("role = 'test'"), None
     for model, depth, min_split, min_leaf in FOLD_TREES:
-        nodes = tree.grow(folds.where("role = 'train'").withColumn("m", F.lit(1)), columns=len(names) + len(matchup.STANCES), max_depth=depth, min_split=min_split, min_leaf=min_leaf)
+        nodes = tree.grow(folds.where("role = 'train'").withColumn("m", F.lit(1)), columns=len(names), max_depth=depth, min_split=min_split, min_leaf=min_leaf)
         each = tree.predict(test.select("row_id", "x").distinct(), nodes, depth).join(test.select("tree_id", "row_id", "y", "dt"), ["tree_id", "row_id"])
         one = each.withColumn("p", F.col("proba")).groupBy("tree_id").agg(*[f(F.col("y"), F.col("p")).alias(n) for n, f, _ in metrics.METRICS], F.min("dt").alias("first"), F.max("dt").alias("last"), F.count(F.lit(1)).alias("n")).withColumn("model", F.lit(model))
         out = one if out is None else out.unionByName(one)
@@ -348,9 +360,10 @@ def shuffled_label_control(spark, sf_dir):
     n = rows.count()
     cut = int(n * 0.82)
     seeds = F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed")
-    # the labels in row order meet the rows in hash order, seed by seed: a tenth of the documents, two columns
-    order = W.Window.partitionBy("seed").orderBy(S.draw("a", F.col("seed"), F.col("row_id")), "row_id")
-    dealt = rows.select(seeds, "row_id").withColumn("k", F.row_number().over(order) - 1).join(rows.select(F.col("row_id").alias("k"), "y"), "k")
+    # the labels in row order meet the rows in the order of their draws, seed by seed, numbered by ranges of draws
+    drawn_rows = rows.select(seeds, F.col("row_id").alias("own")).withColumn("draw", S.draw("a", F.col("seed"), F.col("own")))
+    ranked = splits.numbered(drawn_rows, "draw", width=max(1, (1 << 32) * 4096 // max(n, 1)), by=("seed",), ties=("own",))
+    dealt = ranked.select("seed", F.col("own").alias("row_id"), F.col("row_id").alias("k")).join(rows.select(F.col("row_id").alias("k"), "y"), "k")
     shuffled = checkpointed(dealt.join(rows.select("row_id", "x"), "row_id").select("seed", "row_id", "x", "y"))
     # a tree's number tells its seed: no two seeds share a tree
     drawn = splits.bootstrap(rows.where(F.col("row_id") < cut), cut, CONTROL_TREES * len(SEEDS))
@@ -369,30 +382,55 @@ def shuffled_label_control(spark, sf_dir):
     return found.withColumn("clear", clear).withColumn("passed", F.count_if("clear").over(W.Window.partitionBy()) >= len(SEEDS) - 1)
 
 
+#: The variants of the features, each its model's columns: the first is what the others are compared with. Without ratings the rating's difference is constant, so no tree can split on it.
+VARIANTS = (
+    ("static only", matchup.feature_names()),
+    ("+ rolling form", [n for n in matchup.feature_names(rolling=True) if n != "elo_diff"]),
+    ("+ rolling + live Elo", matchup.feature_names(rolling=True)),
+    ("+ rolling + weight", [n for n in matchup.feature_names(rolling=True, weight=True) if n != "elo_diff"]),
+    ("+ rolling + bout context", [n for n in matchup.feature_names(rolling=True, context=True) if n != "elo_diff"]),
+    ("+ rolling, pruned", matchup.feature_names(rolling=True, pruned=True)),
+)
+
+
+def ablation_scores(spark, sf_dir):
+    """(row_id, y and a column for each variant) of the test part: all variants' trees grow in one plan, each seeing its own columns."""
+    log = checkpointed(history.event_log(bouts(spark, sf_dir)))
+    ratings = rating.elo(log).select("bout_id", "ent", "elo_pre")
+    rows = matchup.training_rows(feature_table(spark, sf_dir), history.features(log, ratings))
+    names = matchup.feature_names(rolling=True, context=True, weight=True)
+    x = matchup.matrix(rows, tuple(names)).join(rows.select("bout_id", "dt"), "bout_id").withColumnRenamed("bout_id", "key")
+    x = checkpointed(splits.chronological(x))
+    _, depth, min_split, min_leaf = FOLD_TREES[0]
+    trees = F.explode(F.sequence(F.lit(0), F.lit(len(VARIANTS) - 1))).alias("tree_id")
+    sees = F.array(*[F.array(*[F.lit(names.index(n)) for n in own]) for _, own in VARIANTS])
+    nodes = tree.grow(x.where("NOT is_test").select(trees, "x", "y", F.lit(1).alias("m")), len(names), depth, min_split, min_leaf, allowed=F.array_contains(F.get(sees, F.col("tree_id")), F.col("feature")))
+    test = splits.numbered(x.where("is_test").select("key", "x", "y"), "key")
+    each = tree.predict(test, nodes, depth).groupBy("row_id").agg(*[F.max(F.when(F.col("tree_id") == k, F.col("proba"))).alias(name) for k, (name, _) in enumerate(VARIANTS)])
+    return checkpointed(each.join(test.select("row_id", "y"), "row_id"))
+
+
 @query("ablation", None)
 def ablation(spark, sf_dir):
-    """Training accuracy with and without the weight columns, on the same rows."""
-    features = feature_table(spark, sf_dir)
-    out = None
-    for name, weight in (("all", True), ("without weight", False)):
-        names = tuple(matchup.feature_names(weight=weight))
-        x = matchup.matrix(features, names).select(F.col("bout_id").alias("row_id"), "x", "y")
-        nodes = tree.grow(rooted(x).drop("node_id"), columns=len(names) + 3, max_depth=2, min_split=50, min_leaf=25)
-        one = tree.predict(x, nodes, 2).join(x.select("row_id", "y"), "row_id").agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy")).withColumn("variant", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Test scores of six sets of features and their paired differences from the first."""
+    rows = ablation_scores(spark, sf_dir)
+    return metrics.paired_differences(rows, splits.drawn(rows, rows.count(), REPLICATES), [name for name, _ in VARIANTS])
 
 
 @query("external_agreement", None)
 def external_agreement(spark, sf_dir):
-    """Share of rows on which the exact tree and Spark ML's binned tree agree (informational)."""
+    """Share of rows on which the exact tree and Spark ML's binned tree agree, both root entropies, and their quotient: 1 where both count in bits (informational)."""
     from pyspark.ml.classification import DecisionTreeClassifier
     from pyspark.ml.functions import array_to_vector
 
     rows, nodes = depth2(spark, sf_dir)
     vectors = rows.select("row_id", array_to_vector("x").alias("features"), F.col("y").cast("double").alias("label"))
-    other = DecisionTreeClassifier(impurity="entropy", maxDepth=2, minInstancesPerNode=5, maxBins=256).fit(vectors).transform(vectors).select("row_id", F.col("prediction").alias("other"))
-    return tree.predict(rows, nodes, 2).join(other, "row_id").agg(F.avg((F.col("prediction") == F.col("other")).cast("double")).alias("agreement"))
+    model = DecisionTreeClassifier(impurity="entropy", maxDepth=2, minInstancesPerNode=5, maxBins=256).fit(vectors)
+    theirs = float(model._java_obj.rootNode().impurity())
+    other = model.transform(vectors).select("row_id", F.col("prediction").alias("other"))
+    agreed = tree.predict(rows, nodes, 2).join(other, "row_id").agg(F.avg((F.col("prediction") == F.col("other")).cast("double")).alias("agreement"))
+    ours = tree.entropy(rows, "y").select(F.col("h").alias("root_entropy"))
+    return agreed.crossJoin(ours).withColumn("other_entropy", F.lit(theirs)).withColumn("quotient", F.col("other_entropy") / F.nullif("root_entropy", F.lit(0.0)))
 
 
 @query("feature_positions", cte("entity", "bout") + FEATURES + " SELECT stance_matchup, count(*)::BIGINT AS n, round(avg(label), 6) AS a_wins FROM feat GROUP BY 1")

@@ -9,25 +9,29 @@ from bracketry.functions import scalars as S
 from bracketry.operators import history, matchup, rating
 from bracketry.plans.adapters import bouts, cte, entities
 from bracketry.plans.queries import COIN, feature_table, log_of, query, rnd
-from bracketry.session import table
+from bracketry.session import checkpointed, table
 
 LOG = cte("bout", "elog")
 PRIORS = """, prior AS (
   SELECT cls, coalesce(avg(won), 0.5) AS wr, coalesce(avg(is_finish::INTEGER) FILTER (WHERE won = 1), 0.5) AS fr, coalesce(avg(is_finish::INTEGER) FILTER (WHERE won = 0), 0.5) AS lr FROM elog GROUP BY GROUPING SETS ((cls), ())
 )"""
+#: Sums over the rows that have a statistic and seconds: the statistic's and the seconds'.
+SUMS = ", ".join(f"sum(b.{c}) FILTER (WHERE b.secs > 0) AS s_{c}, sum(b.secs) FILTER (WHERE b.secs > 0 AND b.{c} IS NOT NULL) AS t_{c}" for c in ("own_q", "opp_q", "own_td", "own_sub", "own_ctrl"))
 #: Every log row next to its entity's rows of earlier days.
-PAST = PRIORS + """, past AS (
+PAST = PRIORS + f""", past AS (
   SELECT a.bout_id, a.ent, any_value(a.dt) AS dt, any_value(a.cls) AS cls, count(b.bout_id) AS n, coalesce(sum(b.won), 0)::BIGINT AS wins,
     count(*) FILTER (WHERE b.won = 1 AND b.is_finish) AS wf, count(*) FILTER (WHERE b.won = 0 AND b.is_finish) AS lf,
-    sum(b.own_q) FILTER (WHERE b.secs > 0) AS oq, sum(b.secs) FILTER (WHERE b.secs > 0 AND b.own_q IS NOT NULL) AS os, sum(b.opp_q) FILTER (WHERE b.secs > 0) AS pq, sum(b.secs) FILTER (WHERE b.secs > 0 AND b.opp_q IS NOT NULL) AS ps,
+    {SUMS},
     sum(b.secs) AS secs, max(b.dt) AS last, list(b.won ORDER BY b.dt DESC, b.bout_id DESC) FILTER (WHERE b.bout_id IS NOT NULL) AS results
   FROM elog a LEFT JOIN elog b ON a.ent = b.ent AND b.dt < a.dt GROUP BY a.bout_id, a.ent
 )"""
+LANDED = "s_own_q / t_own_q * 60"
 WITH_PRIOR = " FROM past p JOIN prior c ON c.cls = p.cls"
 
 
 def asof(spark, sf_dir, ratings=None):
-    return history.features(log_of(spark, sf_dir), ratings)
+    # the log is read three times: by itself, for its days and for the priors
+    return history.features(checkpointed(log_of(spark, sf_dir)), ratings)
 
 
 @query("event_log", LOG + " SELECT * FROM elog")
@@ -60,9 +64,9 @@ def asof_finish_rates(spark, sf_dir):
     return asof(spark, sf_dir).select("bout_id", "ent", rnd(F.col("finish_rate")).alias("finish_rate"), rnd(F.col("finished_rate")).alias("finished_rate"))
 
 
-@query("asof_matched_rates", LOG + PAST + " SELECT bout_id, ent, round(oq / os * 60 + 1e-9, 6) AS landed_pm, round(pq / ps * 60 + 1e-9, 6) AS absorbed_pm, round(oq / os * 900 + 1e-9, 6) AS landed_p15m, round(pq / ps * 900 + 1e-9, 6) AS absorbed_p15m, round(oq / os + 1e-9, 6) AS ctrl_frac" + WITH_PRIOR)
+@query("asof_matched_rates", LOG + PAST + f" SELECT bout_id, ent, round({LANDED} + 1e-9, 6) AS landed_pm, round(s_opp_q / t_opp_q * 60 + 1e-9, 6) AS absorbed_pm, round(s_own_td / t_own_td * 900 + 1e-9, 6) AS td_landed_p15m, round(s_own_sub / t_own_sub * 900 + 1e-9, 6) AS sub_att_p15m, round(s_own_ctrl / t_own_ctrl + 1e-9, 6) AS ctrl_frac" + WITH_PRIOR)
 def asof_matched_rates(spark, sf_dir):
-    return asof(spark, sf_dir).select("bout_id", "ent", *[rnd(F.col(c) + 1e-9).alias(c) for c in ("landed_pm", "absorbed_pm", "landed_p15m", "absorbed_p15m", "ctrl_frac")])
+    return asof(spark, sf_dir).select("bout_id", "ent", *[rnd(F.col(name) + 1e-9).alias(name) for name, _, _ in history.RATES])
 
 
 @query("asof_layoff", LOG + PAST + " SELECT bout_id, ent, date_diff('day', last, p.dt)::INTEGER AS days_since_last, CASE WHEN n > 0 THEN coalesce(secs, 0) END AS total_fight_secs" + WITH_PRIOR)
@@ -77,7 +81,11 @@ def support_tier(spark, sf_dir):
 
 @query("debut_rows", LOG + PAST + " SELECT bout_id, ent, round(wr, 6) AS win_rate, round(fr, 6) AS finish_rate, NULL::DOUBLE AS landed_pm, NULL::INTEGER AS days_since_last, 1500.0::DOUBLE AS elo" + WITH_PRIOR + " WHERE n = 0")
 def debut_rows(spark, sf_dir):
-    return asof(spark, sf_dir).where("n_fights = 0").select("bout_id", "ent", rnd(F.col("win_rate")).alias("win_rate"), rnd(F.col("finish_rate")).alias("finish_rate"), "landed_pm", "days_since_last", F.lit(history.START_RATING).alias("elo"))
+    """Rows of entities without a bout on an earlier day; their ratings come from the sweep, of bouts on other days alone."""
+    log = checkpointed(log_of(spark, sf_dir))
+    before = rating.as_of_days(rating.elo(log), log)
+    rows = history.features(log, before).where("n_fights = 0")
+    return rows.select("bout_id", "ent", rnd(F.col("win_rate")).alias("win_rate"), rnd(F.col("finish_rate")).alias("finish_rate"), "landed_pm", "days_since_last", "elo")
 
 
 @query("most_recent_class", LOG + " SELECT ent, arg_max(cls, dt::VARCHAR || lpad(bout_id::VARCHAR, 12, '0')) AS cls FROM elog GROUP BY 1")
@@ -85,6 +93,17 @@ def most_recent_class(spark, sf_dir):
     return log_of(spark, sf_dir).groupBy("ent").agg(F.max_by("cls", F.struct("dt", "bout_id")).alias("cls"))
 
 
+INFER = " , latest AS (SELECT ent, arg_max(cls, dt::VARCHAR || lpad(bout_id::VARCHAR, 12, '0')) AS cls FROM elog GROUP BY 1), asked AS (SELECT s_suppkey AS key, CASE WHEN s_suppkey % 3 = 0 THEN -1 ELSE s_suppkey END AS a, CASE WHEN s_suppkey % 5 = 0 THEN -2 ELSE s_suppkey + 1 END AS b FROM supplier)"
+
+
+@query("infer_division", LOG + INFER + " SELECT key, coalesce(x.cls, y.cls) AS cls FROM asked LEFT JOIN latest x ON x.ent = a LEFT JOIN latest y ON y.ent = b")
+def infer_division(spark, sf_dir):
+    """The latest class of A, else of B, else none."""
+    k = F.col("s_suppkey")
+    asked = table(spark, sf_dir, "supplier").select(k.alias("key"), F.when(k % 3 == 0, -1).otherwise(k).alias("a"), F.when(k % 5 == 0, -2).otherwise(k + 1).alias("b"))
+    return matchup.infer_class(asked, log_of(spark, sf_dir)).select("key", "cls")
+
+
 @query("prior_bout_counts", cte("bout") + " SELECT e AS ent, count(*)::BIGINT AS n FROM (SELECT e1 AS e FROM bout WHERE dt < DATE '1997-01-01' UNION ALL SELECT e2 FROM bout WHERE dt < DATE '1997-01-01') GROUP BY 1")
 def prior_bout_counts(spark, sf_dir):
     return bouts(spark, sf_dir).where("dt < DATE '1997-01-01'").select(F.explode(F.array("e1", "e2")).alias("ent")).groupBy("ent").agg(F.count(F.lit(1)).alias("n"))
@@ -166,7 +185,7 @@ def elo_variance(spark, sf_dir):
 
 # ---- matchups ---------------------------------------------------------------
 
-DIFFS = LOG + PAST + f""", f AS (SELECT bout_id, ent, n::DOUBLE AS n, CASE WHEN n = 0 THEN wr ELSE (wins + 5 * wr) / (n + 5) END AS w, oq / os * 60 AS landed, date_diff('day', last, p.dt)::DOUBLE AS gap {WITH_PRIOR}),
+DIFFS = LOG + PAST + f""", f AS (SELECT bout_id, ent, n::DOUBLE AS n, CASE WHEN n = 0 THEN wr ELSE (wins + 5 * wr) / (n + 5) END AS w, {LANDED} AS landed, date_diff('day', last, p.dt)::DOUBLE AS gap {WITH_PRIOR}),
 s AS (SELECT bout_id, CASE WHEN {COIN} THEN e1 ELSE e2 END AS a, CASE WHEN {COIN} THEN e2 ELSE e1 END AS b, (winner = CASE WHEN {COIN} THEN e1 ELSE e2 END)::INTEGER AS label FROM bout WHERE winner IS NOT NULL)"""
 
 
@@ -187,6 +206,46 @@ def matchup_support(spark, sf_dir):
     return training(spark, sf_dir).groupBy(S.support_label(F.get(both, 0), F.get(both, 1)).alias("support")).agg(F.count(F.lit(1)).alias("n"))
 
 
+ASKED = """, asked AS (SELECT s_suppkey AS key, 1 + s_suppkey * 7 % (SELECT max(p_partkey) FROM part) AS a, 1 + (s_suppkey * 13 + 5) % (SELECT max(p_partkey) FROM part) AS b,
+  CASE s_suppkey % 6 WHEN 0 THEN 'UFC Lightweight Title Bout' WHEN 1 THEN 'Women''s Strawweight Bout' WHEN 2 THEN 'Catch Weight Bout' WHEN 3 THEN 'Light Heavyweight Bout' WHEN 4 THEN 'Bantamweight Bout' ELSE 'UFC Heavyweight Bout' END AS cls,
+  DATE '1996-06-01' + (s_suppkey % 700)::INTEGER AS dt FROM supplier),
+q AS (SELECT key, 'a' AS side, a AS ent, cls, dt FROM asked UNION ALL SELECT key, 'b', b, cls, dt FROM asked),
+f0 AS (SELECT q.key, q.side, any_value(q.cls) AS cls, any_value(q.dt) AS dt, count(b.bout_id) AS n, coalesce(sum(b.won), 0) AS wins, {sums}, max(b.dt) AS last,
+  list(b.won ORDER BY b.dt DESC, b.bout_id DESC) FILTER (WHERE b.bout_id IS NOT NULL) AS results FROM q LEFT JOIN elog b ON b.ent = q.ent AND b.dt < q.dt GROUP BY 1, 2),
+r0 AS (SELECT q.key, q.side, arg_max(x.post, x.seq) AS elo FROM q LEFT JOIN (SELECT e.*, b.dt FROM elo e JOIN bout b ON b.bout_id = e.bout) x ON x.ent = q.ent AND x.dt < q.dt GROUP BY 1, 2),
+g0 AS (SELECT f0.*, r0.elo, coalesce(c.wr, z.wr) AS w0 FROM f0 JOIN r0 USING (key, side) LEFT JOIN prior c ON c.cls = f0.cls CROSS JOIN (SELECT wr FROM prior WHERE cls IS NULL) z),
+g AS (SELECT key, side, n::DOUBLE AS n, CASE WHEN n = 0 THEN w0 ELSE (wins + 5 * w0) / (n + 5) END AS w, CASE WHEN n = 0 THEN w0 ELSE list_avg(results[1:3]) END AS l3,
+  {landed} AS landed, s_own_td / t_own_td * 900 AS td, s_own_ctrl / t_own_ctrl AS ctrl, date_diff('day', last, dt)::DOUBLE AS gap, coalesce(elo, 1500) AS elo,
+  CASE WHEN n = 0 THEN 'none' WHEN n < 3 THEN 'thin' ELSE 'ok' END AS support FROM g0)""".replace("{sums}", SUMS).replace("{landed}", LANDED)
+LIMITS = "CASE k.cls WHEN 'UFC Lightweight Title Bout' THEN 155 WHEN 'Women''s Strawweight Bout' THEN 115 WHEN 'Light Heavyweight Bout' THEN 205 WHEN 'Bantamweight Bout' THEN 135 WHEN 'UFC Heavyweight Bout' THEN 265 END"
+
+
+def asked_matchups(spark, sf_dir):
+    """Pairs of entities, a class and a day that nobody fought on."""
+    k, top = F.col("s_suppkey"), table(spark, sf_dir, "part").agg(F.max("p_partkey").alias("top"))
+    classes = ["UFC Lightweight Title Bout", "Women's Strawweight Bout", "Catch Weight Bout", "Light Heavyweight Bout", "Bantamweight Bout", "UFC Heavyweight Bout"]
+    rows = table(spark, sf_dir, "supplier").crossJoin(F.broadcast(top))
+    return rows.select(
+        k.alias("key"), (1 + k * 7 % F.col("top")).alias("a"), (1 + (k * 13 + 5) % F.col("top")).alias("b"), F.get(F.array(*[F.lit(c) for c in classes]), (k % 6).cast("int")).alias("cls"),
+        F.date_add(F.lit("1996-06-01").cast("date"), (k % 700).cast("int")).alias("dt"),
+    )
+
+
+@query("matchup_row", ELO.replace("WITH RECURSIVE ", "WITH RECURSIVE " + cte("entity").removeprefix("WITH ") + ",\n", 1) + PRIORS + ASKED + f""" SELECT k.key, x.n - y.n AS n_fights_diff, round(x.w - y.w, 6) AS win_rate_diff, round(x.l3 - y.l3, 6) AS last3_win_rate_diff, round(coalesce(x.landed - y.landed, 0), 6) AS landed_pm_diff, x.landed - y.landed IS NULL AS landed_pm_diff_missing,
+  round(coalesce(x.td - y.td, 0), 6) AS td_landed_p15m_diff, round(coalesce(x.ctrl - y.ctrl, 0), 6) AS ctrl_frac_diff, coalesce(x.gap - y.gap, 0) AS days_since_last_diff, round(x.elo - y.elo, 6) AS elo_diff, x.support AS support_a, y.support AS support_b,
+  coalesce(p.height - q.height, 0) AS height_diff, p.height - q.height IS NULL AS height_diff_missing, coalesce(abs(p.weight - {LIMITS}) - abs(q.weight - {LIMITS}), 0) AS cut_burden_diff, k.cls LIKE '%Title%' AS is_title_bout,
+  CASE WHEN k.cls LIKE '%Title%' THEN 5.0::DOUBLE ELSE 3.0::DOUBLE END AS scheduled_rounds
+  FROM asked k JOIN g x ON x.key = k.key AND x.side = 'a' JOIN g y ON y.key = k.key AND y.side = 'b' LEFT JOIN entity p ON p.id = k.a LEFT JOIN entity q ON q.id = k.b""")
+def matchup_row(spark, sf_dir):
+    """The feature row of any two entities, a class and a day, with ratings as of the day."""
+    asked, log = checkpointed(asked_matchups(spark, sf_dir)), checkpointed(log_of(spark, sf_dir))
+    probes = asked.select(F.explode(F.array("a", "b")).alias("ent"), "dt")
+    rows = matchup.matchup_rows(asked, entities(spark, sf_dir), log, rating.as_of_days(rating.elo(log), probes))
+    rounded = ("win_rate_diff", "last3_win_rate_diff", "landed_pm_diff", "td_landed_p15m_diff", "ctrl_frac_diff", "elo_diff")
+    plain = ("n_fights_diff", "landed_pm_diff_missing", "days_since_last_diff", "support_a", "support_b", "height_diff", "height_diff_missing", "cut_burden_diff", "is_title_bout", "scheduled_rounds")
+    return rows.select("key", *plain, *[rnd(F.col(c)).alias(c) for c in rounded])
+
+
 @query("mirror_average", cte("bout") + " SELECT bout_id AS key, round((1 / (1 + exp(-(coalesce(q1, 25) - coalesce(q2, 25)) / 10 - 0.1)) + 1 - 1 / (1 + exp(-(coalesce(q2, 25) - coalesce(q1, 25)) / 10 - 0.1))) / 2, 6) AS p FROM bout")
 def mirror_average(spark, sf_dir):
     a, b = F.coalesce("q1", F.lit(25.0)), F.coalesce("q2", F.lit(25.0))

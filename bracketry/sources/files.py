@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bracketry.functions import scalars as S
+from bracketry.operators import resolve
 
 # Tokens of a CSV that mean missing.
 MISSING = ("", "NA", "N/A", "NULL", "None", "nan", "NaN", "null", "n/a", "<NA>", "#N/A", "-nan", "-NaN")
@@ -46,10 +47,23 @@ def build_rows(rows: DataFrame, schema: T.StructType) -> DataFrame:
 
 def stubs(names: DataFrame, known: DataFrame) -> DataFrame:
     """Known profiles and, for unknown names, profiles without biometrics."""
-    new = names.select(S.fold(F.col("name")).alias("key"), "name").join(known.select(S.fold(F.col("name")).alias("key")), "key", "left_anti").groupBy("key").agg(F.min("name").alias("name")).drop("key")
+    new = resolve.unknown(names.distinct(), known).groupBy("key").agg(F.min("name").alias("name")).drop("key")
     return known.unionByName(new, allowMissingColumns=True)
 
 
+def load_joined(spark: SparkSession, bouts_path: str, entities_path: str) -> DataFrame:
+    """Both files, joined by name on either side; rows repeat where names do."""
+    entities = read_entities(spark, entities_path).withColumnRenamed("Fighter_Name", "name")
+    return resolve.join_by_name(read_bouts(spark, bouts_path), entities, {"Fighter_1": "F1_bio_", "Fighter_2": "F2_bio_"})
+
+
+def check_columns(df: DataFrame, wanted: list[str]) -> DataFrame:
+    """df, if it has the wanted columns and no others; else an error that names both kinds."""
+    if set(df.columns) != set(wanted):
+        raise ValueError(f"missing columns: {sorted(set(wanted) - set(df.columns))}; unexpected: {sorted(set(df.columns) - set(wanted))}")
+    return df
+
+
 def elements(html: Column, tag: str, inner: bool = True) -> Column:
     """The contents of all elements of a tag that don't nest."""
     return F.regexp_extract_all(html, F.lit(rf"(?s)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1 if inner else 0))
@@ -64,8 +78,8 @@ def table_cells(pages: DataFrame, key: str, html: str, kind: str = "wikitable")
 
 
 def new_events(cells: DataFrame, after: str, limit: int | None = None) -> DataFrame:
-    """(dt, name): events of rows of three cells or more dated after a day, in order, each once."""
-    rows = cells.groupBy("table_no", "row_no").agg(F.max(F.when(F.col("cell_no") == 1, F.col("cell"))).alias("name"), F.max(F.when(F.col("cell_no") == 2, F.col("cell"))).alias("raw"))
+    """(dt, name): events of rows of three cells or more dated after a day, in order, each once. A row is told by its page, table and number."""
+    rows = cells.groupBy(*[c for c in cells.columns if c not in ("cell_no", "cell")]).agg(F.max(F.when(F.col("cell_no") == 1, F.col("cell"))).alias("name"), F.max(F.when(F.col("cell_no") == 2, F.col("cell"))).alias("raw"))
     found = rows.select(S.parse_day(F.col("raw")).alias("dt"), "name").where((F.col("dt") > F.lit(after).cast("date")) & (F.col("name") != "")).distinct().orderBy("dt", "name")
     return found.limit(limit) if limit else found
 

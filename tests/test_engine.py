@@ -203,3 +203,47 @@ def test_control_on_shuffled_labels_has_five_seeds(spark, sf):
     for r in rows:
         assert r.low <= r.accuracy <= r.high and r.clear == (r.base_rate >= r.low - 1e-9)
         assert r.passed == (sum(x.clear for x in rows) >= 4)
+
+
+def test_events_of_two_pages_stay_apart(spark):
+    page = lambda name, day: f'<table class="wikitable"><tr><td>1</td><td>{name}</td><td>{day}</td></tr></table>'
+    pages = spark.createDataFrame([(1, page("UFC A", "Mar 5, 2024")), (2, page("UFC B", "Apr 5, 2024")), (None, page("UFC C", "May 5, 2024"))], "k int, html string")
+    assert rows_of(files.new_events(files.table_cells(pages, "k", "html"), "2023-01-01"), "dt", "name") == [(date(2024, 3, 5), "UFC A"), (date(2024, 4, 5), "UFC B"), (date(2024, 5, 5), "UFC C")]
+
+
+def test_the_doctors_stoppage_is_a_finish(spark):
+    b = spark.createDataFrame([(1, date(2020, 1, 1), "x", 1, 2, 1, m, 300.0) for m in ("KO/TKO", "Submission", "TKO - Doctor's Stoppage", "Decision - Unanimous", None)], "bout_id long, dt date, cls string, e1 long, e2 long, winner long, method string, secs double")
+    assert [r.is_finish for r in history.event_log(b).where("ent = 1").collect()] == [True, True, True, False, False]
+
+
+def test_names_are_folded_once_and_looked_up(spark):
+    names = spark.createDataFrame([("José",), ("jose",), (None,), ("Zoë",)] * 3, "name string")
+    bios = spark.createDataFrame([(1, "JOSE", 70.0), (2, "Ann", 60.0), (3, "Ann", 80.0)], "id long, name string, weight double")
+    assert {r.name for r in resolve.unknown(names, bios).collect()} == {None, "Zoë"}
+    assert sorted(rows_of(resolve.candidates(spark.createDataFrame([("Ann",), ("Bo",)], "name string"), bios), "name", "id")) == [("Ann", 2), ("Ann", 3)]
+    assert rows_of(resolve.lookup(spark.createDataFrame([(2,)], "id long"), bios), "name") == [("Ann",)]
+    with pytest.raises(Exception, match="unknown id: 9"):
+        resolve.lookup(spark.createDataFrame([(9,)], "id long"), bios).collect()
+
+
+def test_files_joined_by_name_and_checked_columns(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("Fight_URL,Fighter_1,Fighter_2,Event_Date\nx,A,B,\"Mar 5, 2024\"\n")
+    (tmp_path / "e.csv").write_text("Fighter_URL,Fighter_Name,Height,Reach,Weight,DOB\nu,A,5' 11\",70,155 lbs.,\nv,A,5' 10\",71,145 lbs.,\n")
+    joined = files.load_joined(spark, str(tmp_path / "b.csv"), str(tmp_path / "e.csv"))
+    assert sorted(rows_of(joined, "F1_bio_Fighter_URL", "F2_bio_Fighter_URL")) == [("u", None), ("v", None)]
+    assert files.check_columns(joined.select("Fight_URL"), ["Fight_URL"]).columns == ["Fight_URL"]
+    with pytest.raises(ValueError, match="missing columns"):
+        files.check_columns(joined.select("Fight_URL"), ["Fight_URL", "other"])
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from bracketry import session
+
+    bare = SimpleNamespace(getConf=lambda: SimpleNamespace(get=lambda k: None), _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: SimpleNamespace(isDefined=lambda: False))), master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.work_dir(SimpleNamespace(sparkContext=bare, conf=SimpleNamespace(get=lambda k, d: None)))
+    before = spark.conf.get(session.CLEAN_UP, None)
+    session.checkpointed(spark.range(3))
+    assert spark.conf.get(session.CLEAN_UP, None) == before
