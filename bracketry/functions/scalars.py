@@ -227,3 +227,16 @@ def draw(seed: str, *keys: Column) -> Column:
     """A number below 2^32 fixed by seed and keys: the portable random draw."""
     text = F.concat_ws(":", F.lit(seed), *[k.cast("string") for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+#: The lowest 32 bits, and the factor of the scrambling.
+LOW_BITS, FACTOR = (1 << 32) - 1, 73244475
+
+
+def folded_down(x: Column) -> Column:
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def scrambling(x: Column) -> Column:
+    """A step that spreads a number below 2^32 over all of them; products stay below 2^63, so every engine computes the same."""
+    return (folded_down(x) * F.lit(FACTOR)).bitwiseAND(F.lit(LOW_BITS))

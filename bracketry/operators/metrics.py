@@ -42,11 +42,16 @@ def reference_scores(rows: DataFrame) -> DataFrame:
     return rows.select("y").crossJoin(F.broadcast(base)).transform(scores)
 
 
+def with_rows(draws: DataFrame, rows: DataFrame) -> DataFrame:
+    """Draws joined with what they draw. The draws are many times the rows, which the planner can't see: rows are hashed, part by part, and draws never sent whole."""
+    return draws.join(rows.hint("shuffle_hash"), "row_id")
+
+
 def intervals(rows: DataFrame, draws: DataFrame, value: Callable[[Column | None], Column], alpha: float = 0.05) -> DataFrame:
     """(point, low, high) of an aggregate under resampling. draws: (b, row_id), a row for each draw, or with m how often; value: the aggregate given weights."""
     point = rows.agg(value(None).alias("point"))
     draws = draws if "m" in draws.columns else draws.withColumn("m", F.lit(1))
-    boot = draws.join(rows, "row_id").groupBy("b").agg(value(F.col("m")).alias("v"))
+    boot = with_rows(draws, rows).groupBy("b").agg(value(F.col("m")).alias("v"))
     bounds = boot.agg(F.percentile("v", F.lit(alpha / 2)).alias("low"), F.percentile("v", F.lit(1 - alpha / 2)).alias("high"))
     return point.crossJoin(bounds)
 
@@ -81,7 +86,7 @@ def paired_differences(rows: DataFrame, draws: DataFrame, models: list[str], alp
     y = F.col("y")
     value = lambda model, f: f(y, F.col(model))
     scored = rows.agg(*[value(m, f).alias(name(m, n)) for m in models for n, f, _ in METRICS])
-    boot = draws.join(rows, "row_id").groupBy("b").agg(*[(value(m, f) - value(base, f)).alias(name(m, n)) for m in rest for n, f, _ in METRICS])
+    boot = with_rows(draws, rows).groupBy("b").agg(*[(value(m, f) - value(base, f)).alias(name(m, n)) for m in rest for n, f, _ in METRICS])
     bounds = boot.agg(*[F.struct(F.percentile(name(m, n), F.lit(alpha / 2)).alias("low"), F.percentile(name(m, n), F.lit(1 - alpha / 2)).alias("high")).alias(f"ci_{name(m, n)}") for m in rest for n, _, _ in METRICS])
     both = scored.crossJoin(bounds)
     out = []

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -37,21 +38,25 @@ def elo(log: DataFrame, k: float = K, initial: float = START) -> DataFrame:
     """
     first = log.groupBy("bout_id").agg(F.min(F.struct("ent", "opp", "dt", "won")).alias("x")).select("bout_id", "x.*")
 
-    def sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ratings: dict[int, float] = {}
-        seq = 0
-        for frame in frames:
-            rows = []
-            for bout, ent, opp, day, won in frame[["bout_id", "ent", "opp", "dt", "won"]].itertuples(index=False):
-                a, b = ratings.get(ent, initial), ratings.get(opp, initial)
+        known, seq = ratings.get, 0
+        for batch in batches:
+            pre, post = [], []
+            for ent, opp, won in zip(*(batch.column(c).to_pylist() for c in ("ent", "opp", "won")), strict=True):
+                a, b = known(ent, initial), known(opp, initial)
                 change = k * (won - expected(a, b))
                 ratings[ent], ratings[opp] = a + change, b - change
-                rows += [(bout, ent, day, seq, a, a + change), (bout, opp, day, seq, b, b - change)]
-                seq += 1
-            yield pd.DataFrame(rows, columns=["bout_id", "ent", "dt", "seq", "elo_pre", "elo_post"])
-
-    ordered = first.coalesce(1).sortWithinPartitions("dt", "ent", "bout_id")
-    return ordered.mapInPandas(sweep, "bout_id long, ent long, dt date, seq long, elo_pre double, elo_post double")
+                pre += (a, b)
+                post += (a + change, b - change)
+            twice = np.repeat(np.arange(batch.num_rows), 2)
+            sides = np.stack([batch.column(c).to_numpy() for c in ("ent", "opp")], axis=1).ravel()
+            yield pa.RecordBatch.from_arrays([batch.column("bout_id").take(twice), pa.array(sides), batch.column("dt").take(twice), pa.array(twice + seq), pa.array(pre, pa.float64()), pa.array(post, pa.float64())], ["bout_id", "ent", "dt", "seq", "elo_pre", "elo_post"])
+            seq += batch.num_rows
+
+    # one task sorts and sweeps; what comes before it keeps its own tasks
+    ordered = first.repartition(1).sortWithinPartitions("dt", "ent", "bout_id")
+    return ordered.mapInArrow(sweep, "bout_id long, ent long, dt date, seq long, elo_pre double, elo_post double")
 
 
 def latest(ratings: DataFrame) -> DataFrame:

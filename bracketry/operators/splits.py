@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bracketry.functions.scalars import draw
+from bracketry.functions.scalars import LOW_BITS, folded_down, scrambling
 
 
 def boundary(rows: DataFrame, test_share: float = 0.18) -> DataFrame:
@@ -60,13 +60,23 @@ def numbered(rows: DataFrame, key: str, width: int = 4096, by: tuple[str, ...] =
     return parts.join(sums, [*by, "__part"]).withColumn("row_id", (F.col("__before") + inner).cast("long")).drop("__part", "__before")
 
 
-def drawn(rows: DataFrame, n: int, replicates: int, seed: str = "7") -> DataFrame:
-    """(b, row_id): the row of 0 .. n - 1 that each of n draws of a replicate takes; no shuffle."""
-    places = rows.select(F.col("row_id").alias("place")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    return places.select("b", F.pmod(draw(seed, F.col("b"), F.col("place")), F.lit(n)).alias("row_id"))
+def drawn(rows: DataFrame, n: int, replicates: int, seed: int = 7) -> DataFrame:
+    """(b, row_id): the row of 0 .. n - 1 that each of n draws of a replicate takes, by plain arithmetic on seed, replicate and place. Only the places are shuffled, to spread the work."""
+    places = rows.select(F.col("row_id").cast("bigint").alias("place")).repartition(max(rows.sparkSession.sparkContext.defaultParallelism, 1))
+    x = places.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # a column for each step: an expression of all steps would repeat each step twice in the next
+    x = x.withColumn("x", (F.col("b").cast("bigint") * F.lit(2654435761) + F.lit(seed)).bitwiseAND(F.lit(LOW_BITS)))
+    for last in (False, True):
+        for _ in range(2):
+            x = x.withColumn("x", scrambling(F.col("x")))
+        x = x.withColumn("x", folded_down(F.col("x")))
+        if not last:
+            x = x.withColumn("x", F.col("x").bitwiseXOR(F.col("place").bitwiseAND(F.lit(LOW_BITS))))
+    # never missing, and said so: a join would otherwise test all the steps once more
+    return x.select("b", F.coalesce(F.pmod("x", F.lit(n)), F.lit(0)).alias("row_id"))
 
 
-def bootstrap(rows: DataFrame, n: int, replicates: int, seed: str = "7") -> DataFrame:
+def bootstrap(rows: DataFrame, n: int, replicates: int, seed: int = 7) -> DataFrame:
     """(b, row_id, m): how often replicate b draws each row of 0 .. n - 1; rows it never draws are absent (out of bag)."""
     return drawn(rows, n, replicates, seed).groupBy("b", "row_id").agg(F.count(F.lit(1)).alias("m"))
 

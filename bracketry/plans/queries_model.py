@@ -8,7 +8,7 @@ from pyspark.sql import window as W
 from bracketry.functions import scalars as S
 from bracketry.operators import history, matchup, metrics, quality, rating, splits, tree
 from bracketry.plans.adapters import bouts, cte
-from bracketry.plans.queries import DRAW, FEATURES, feature_table, query, rnd
+from bracketry.plans.queries import FEATURES, feature_table, query, rnd
 from bracketry.session import checkpointed, table
 
 BOUT = cte("bout")
@@ -69,12 +69,15 @@ def reference_scores(spark, sf_dir):
     return metrics.reference_scores(scored(spark, sf_dir)).select(*[rnd(F.col(n)).alias(n) for n, _, _ in metrics.METRICS])
 
 
-#: Replicates of the intervals, which is what the SQL beside them can bear (the operators take any number), and of the queries that list draws.
-REPLICATES, LISTED = 200, 20
+#: Replicates of the intervals, and of the queries that list every draw.
+REPLICATES, LISTED = 2000, 20
 
 
 def boot_sql(replicates: int) -> str:
-    return f", b AS (SELECT b, {DRAW.format("'7:' || b || ':' || row_id")} % (SELECT n FROM n) AS row_id FROM s, range(0, {replicates}) t(b))"
+    """The draws in the same arithmetic, each step an alias of the one before."""
+    steps = ["(b * 2654435761 + 7) & 4294967295", *["(xor({0}, {0} >> 16) * 73244475) & 4294967295"] * 2, "xor({0}, {0} >> 16)", "xor({0}, place & 4294967295)", *["(xor({0}, {0} >> 16) * 73244475) & 4294967295"] * 2, "xor({0}, {0} >> 16)"]
+    aliased = ", ".join(f"{step.format(f'k{i - 1}')} AS k{i}" for i, step in enumerate(steps))
+    return f", b AS (SELECT b, k{len(steps) - 1} % (SELECT n FROM n) AS row_id FROM (SELECT b, {aliased} FROM (SELECT b, row_id AS place FROM s, range(0, {replicates}) t(b))))"
 
 
 BOOT = boot_sql(REPLICATES)
@@ -373,7 +376,7 @@ def shuffled_label_control(spark, sf_dir):
     each = tree.predict(rows.where(F.col("row_id") >= cut), nodes, DEPTH).withColumnRenamed("tree_id", "b").withColumn("seed", seed_of)
     scored_rows = checkpointed(each.groupBy("seed", "row_id").agg(F.avg("proba").alias("p")).join(shuffled.select("seed", "row_id", "y"), ["seed", "row_id"]))
     test = rows.where(F.col("row_id") >= cut).select((F.col("row_id") - cut).alias("row_id"))
-    draws = splits.bootstrap(test, n - cut, CONTROL_DRAWS, "9").withColumn("row_id", F.col("row_id") + cut)
+    draws = splits.bootstrap(test, n - cut, CONTROL_DRAWS, 9).withColumn("row_id", F.col("row_id") + cut)
     boot = draws.join(scored_rows, "row_id").groupBy("seed", "b").agg(metrics.accuracy(F.col("y"), F.col("p"), F.col("m")).alias("v"))
     bounds = boot.groupBy("seed").agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
     found = scored_rows.groupBy("seed").agg(metrics.accuracy(F.col("y"), F.col("p")).alias("accuracy"), F.greatest(F.avg("y"), 1 - F.avg("y")).alias("base_rate")).join(bounds, "seed")

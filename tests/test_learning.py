@@ -20,6 +20,16 @@ def draw(seed, *keys):
     return int(hashlib.md5(":".join([str(seed), *map(str, keys)]).encode()).hexdigest()[:8], 16)
 
 
+def scrambled(x):
+    for _ in range(2):
+        x = (x ^ x >> 16) * 73244475 & 0xFFFFFFFF
+    return x ^ x >> 16
+
+
+def place_draw(seed, b, place):
+    return scrambled(scrambled(b * 2654435761 + seed & 0xFFFFFFFF) ^ place & 0xFFFFFFFF)
+
+
 def plain_entropy(p):
     return np.where((p <= 0) | (p >= 1), 0.0, -p * np.log2(np.clip(p, 1e-300, 1)) - (1 - p) * np.log2(np.clip(1 - p, 1e-300, 1)))
 
@@ -96,7 +106,7 @@ def learn(sf):
 @pytest.fixture(scope="module")
 def forest(learn):
     _, x, y = learn
-    return plain_forest(x, y, qm.TREES, lambda t: [draw(7, t, i) % len(y) for i in range(len(y))], qm.DEPTH, 1)
+    return plain_forest(x, y, qm.TREES, lambda t: [place_draw(7, t, i) % len(y) for i in range(len(y))], qm.DEPTH, 1)
 
 
 def test_forest_fit(spark, sf, forest):
@@ -122,7 +132,7 @@ def test_forest_predict_and_sweep(spark, sf, learn, forest):
 
 def test_oob_score(spark, sf, learn, forest):
     _, x, y = learn
-    drawn = [{draw(7, t, i) % len(y) for i in range(len(y))} for t in range(qm.TREES)]
+    drawn = [{place_draw(7, t, i) % len(y) for i in range(len(y))} for t in range(qm.TREES)]
     votes = [[plain_leaf(nodes, row) for nodes, seen in zip(forest, drawn, strict=True) if i not in seen] for i, row in enumerate(x)]
     right = [hard(v) == y[i] for i, v in enumerate(votes) if v]
     r = QUERIES["oob_score"](spark, sf).first()
@@ -153,12 +163,12 @@ def test_shuffled_label_control(spark, sf, learn):
         dealt[order] = y
         trees = []
         for t in range(s * qm.CONTROL_TREES, (s + 1) * qm.CONTROL_TREES):
-            m = np.bincount([draw(7, t, i) % cut for i in range(cut)], minlength=cut).astype(float)
+            m = np.bincount([place_draw(7, t, i) % cut for i in range(cut)], minlength=cut).astype(float)
             live = m > 0
             trees.append(plain_tree(x[:cut][live], dealt[:cut][live], m[live], qm.DEPTH, 10, 5, plain_subset(1, 2)(t)))
         p = np.array([np.mean([pos / k for k, pos in (plain_leaf(nodes, row) for nodes in trees)]) for row in x[cut:]])
         right = (p > 0.5) == dealt[cut:]
-        boot = [right[[draw(9, b, i) % (n - cut) for i in range(n - cut)]].mean() for b in range(qm.CONTROL_DRAWS)]
+        boot = [right[[place_draw(9, b, i) % (n - cut) for i in range(n - cut)]].mean() for b in range(qm.CONTROL_DRAWS)]
         low, high = np.percentile(boot, [2.5, 97.5])
         base = max(dealt[cut:].mean(), 1 - dealt[cut:].mean())
         r = got[seed]
@@ -215,7 +225,7 @@ def test_ablation(spark, sf):
         nodes = plain_tree(x[~test], y[~test], np.ones((~test).sum()), depth, min_split, min_leaf, lambda node, own=own: sorted(names.index(n) for n in own))
         p[name] = np.array([pos / n for n, pos in (plain_leaf(nodes, row) for row in x[test])])
     n = int(test.sum())
-    draws = [np.array([draw(7, b, i) % n for i in range(n)]) for b in range(qm.REPLICATES)]
+    draws = [np.array([place_draw(7, b, i) % n for i in range(n)]) for b in range(qm.REPLICATES)]
     got = {(r.model, r.metric): r for r in QUERIES["ablation"](spark, sf).collect()}
     assert len(got) == 18 and [len(own) for _, own in qm.VARIANTS] == [8, 21, 22, 25, 26, 18]
     for (model, metric), r in got.items():
@@ -376,3 +386,14 @@ def test_rows_are_numbered_anew_for_each_group(spark):
     got = {(r.g, r.k, r.t): r.row_id for r in splits.numbered(spark.createDataFrame(rows, "g int, k long, t int"), "k", 10, ("g",), ("t",)).collect()}
     for g in (1, 2):
         assert [got[g, k, t] for k, t in sorted((k, t) for h, k, t in rows if h == g)] == [0, 1, 2, 3, 4]
+
+
+def test_draws_are_spread_evenly(spark):
+    rows = spark.range(2000).withColumnRenamed("id", "row_id")
+    got = splits.drawn(rows, 2000, 50).collect()
+    assert [r.row_id for r in got if r.b == 3][:9] == [place_draw(7, 3, i) % 2000 for i in range(9)]
+    counts = np.bincount([r.row_id for r in got], minlength=2000)
+    # 100,000 draws over 2,000 rows: 50 each, with the spread of a Poisson number
+    assert counts.sum() == 100_000 and abs(counts.var() / 50 - 1) < 0.15
+    by_replicate = [len({r.row_id for r in got if r.b == b}) / 2000 for b in range(50)]
+    assert abs(np.mean(by_replicate) - (1 - math.exp(-1))) < 0.005
