@@ -51,9 +51,9 @@ BUCKET = 8192
 #: Shingles whose bits are summed at once.
 STEP = 1 << 14
 #: Near copies: words of a shingle, the least similarity as a fraction, codewords of a segment, bits in which candidates may differ, and text bytes of a block.
-SIMILAR_WORDS, SIMILAR, PROBES, SKETCH_BITS, GROUP_BYTES = 5, (4, 5), 3, 32, 8 << 20
+SIMILAR_WORDS, SIMILAR, PROBES, SKETCH_BITS, GROUP_BYTES = 5, (4, 5), 3, 32, 4 << 20
 #: Documents whose segments are decoded at once.
-DECODED = 64
+DECODED = 32
 
 # Fixed value: generator polynomial of the perfect binary Golay code (23, 12, 7).
 GENERATOR = 0b101011100011
