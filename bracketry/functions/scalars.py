@@ -51,6 +51,7 @@ def leading_number(text: Column) -> Column:
 
 def percent(text: Column) -> Column:
     """38% -> 0.38; the sign is required."""
+    # Fixed value: the layout of a percentage.
     return _number(text, r"^\s*(\d+(?:\.\d+)?)\s*%") / 100
 
 
@@ -110,6 +111,7 @@ def normalise_method(raw: Column) -> Column:
 
 def clean_name(raw: Column) -> Column:
     """Without champion marks and footnotes, white space collapsed."""
+    # The marks.
     out = F.regexp_replace(F.coalesce(raw, F.lit("")), r"\(c\)|\(ic\)", "")
     out = F.regexp_replace(out, r"\[[a-z0-9]+\]", "")
     return F.trim(F.regexp_replace(out, r"\s+", " "))
@@ -161,6 +163,7 @@ def references(text: Column) -> Column:
 def strip_tags(cell: Column) -> Column:
     """Text of a table cell: no tags, the common character references read, cut at style residue, white space collapsed."""
     text = references(F.regexp_replace(cell, r"(?s)<[^>]+>", ""))
+    # What marks the residue of a style.
     text = F.get(F.split(text, r"\.mw-parser-output|\{|\bN/?a\b"), 0)
     text = F.regexp_replace(text, "[\\s ]+", " ")
     return F.regexp_replace(text, "^[ —– -]+|[ —– -]+$", "")
@@ -211,6 +214,7 @@ def half_width(low: Column, high: Column) -> Column:
 
 def verdict(delta: Column, low: Column, high: Column, lower_is_better: Column) -> Column:
     """What an interval of a paired difference says."""
+    # The three verdicts.
     return F.when((low <= 0) & (high >= 0), "inside noise").when((delta < 0) == lower_is_better, "REAL improvement").otherwise("REAL regression")
 
 
