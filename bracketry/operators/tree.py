@@ -39,8 +39,12 @@ def information_gain(rows: DataFrame, split: str, label: str) -> DataFrame:
 
 
 def cuts(rows: DataFrame, min_leaf: int = 1, features: Column | None = None) -> DataFrame:
-    """All admissible cuts (tree_id, node_id, feature, threshold, gain, n, pos), gains as they are, of rows (tree_id, node_id, x, y, m). features: a boolean over feature, tree_id and node_id."""
-    long = rows.select("tree_id", "node_id", F.posexplode("x").alias("feature", "v"), "y", "m")
+    """All admissible cuts (tree_id, node_id, feature, threshold, gain, n, pos), gains as they are, of rows (tree_id, node_id, x, y, m). features: a boolean over feature, tree_id and node_id. Rows with a list `only` are unpivoted for its features alone."""
+    if "only" in rows.columns:
+        unpivoted = F.inline(F.transform("only", lambda f: F.struct(f.alias("feature"), F.get("x", f).alias("v"))))
+    else:
+        unpivoted = F.posexplode("x").alias("feature", "v")
+    long = rows.select("tree_id", "node_id", unpivoted, "y", "m")
     if features is not None:
         long = long.where(features)
     counted = long.groupBy("tree_id", "node_id", "feature", "v").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("y")).alias("pos"))
@@ -83,10 +87,9 @@ def root_ties(rows: DataFrame, min_leaf: int = 1, within: float = TIE) -> DataFr
 
 
 def subset(k: int, columns: int, seed: str = "3") -> Column:
-    """Whether a feature is among the k of lowest draws at its tree and node."""
-    own = draw(seed, F.col("tree_id"), F.col("node_id"), F.col("feature"))
-    lower = F.aggregate(F.sequence(F.lit(0), F.lit(columns - 1)), F.lit(0), lambda a, f: a + ((draw(seed, F.col("tree_id"), F.col("node_id"), f) < own) | ((draw(seed, F.col("tree_id"), F.col("node_id"), f) == own) & (f < F.col("feature")))).cast("int"))
-    return lower < k
+    """The k features of lowest draws at a tree and node, the first of equals."""
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda f: F.struct(draw(seed, F.col("tree_id"), F.col("node_id"), f).alias("draw"), f.alias("feature")))
+    return F.slice(F.sort_array(drawn), 1, k)["feature"]
 
 
 def subset_size(rule: str | int | None, columns: int) -> int:
@@ -114,7 +117,9 @@ def grow(rows: DataFrame, columns: int, max_depth: int, min_split: int = 2, min_
         if depth == max_depth:
             found = open_.limit(0).selectExpr("tree_id", "node_id", "0 AS feature", "0D AS threshold", "0D AS gain")
         else:
-            found = keep(best_split(live.join(open_, ["tree_id", "node_id"], "left_semi"), min_leaf, subset(k, columns) if k < columns else allowed))
+            # features are drawn once a node, not once a row
+            asked = open_.withColumn("only", subset(k, columns)) if k < columns else open_
+            found = keep(best_split(live.join(asked, ["tree_id", "node_id"]), min_leaf, allowed))
         level = totals.join(found, ["tree_id", "node_id"], "left").select(
             "tree_id", "node_id", F.col("feature").cast("int").alias("feature"), "threshold", F.col("feature").isNull().alias("is_leaf"),
             F.when(2 * F.col("pos") > F.col("n"), 1).otherwise(0).alias("prediction"), (F.col("pos") / F.col("n")).alias("proba"), F.col("n").cast("long").alias("n"), "gain",
