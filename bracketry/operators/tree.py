@@ -4,23 +4,30 @@ A level is one plan: the live rows' features are unpivoted and counted by (tree,
 node, feature, value); running sums over the sorted values give every cut's gain.
 Running sums are taken in two steps, within value ranges and over range totals, so
 no task sorts a whole feature. Only node tables, bounded by trees * 2^depth, are
-joined back. A tree's rows never come together in one task.
+joined back. A node of few enough rows, by its counted size, goes to one task, which
+grows all that is below it; larger nodes' rows never come together.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from bracketry.functions.scalars import binary_entropy, draw
-from bracketry.session import checkpointed
+from bracketry.session import checkpointed, ship
 
 #: Ranges that a feature's values are cut into for the running sums; digits of a gain that is written down, and those that splits are ranked by: gains nearer than TIE are ties.
 RANGES, DIGITS, RANKED, TIE = 32, 9, 12, 1e-12
 
+#: Values, rows times features, of the largest node that one task grows to its end: 8 MB, some ten times that while it is sorted.
+TASK_CELLS = 1_000_000
+
 NODES = "tree_id int, node_id long, feature int, threshold double, is_leaf boolean, prediction int, proba double, n long, gain double"
 
 
@@ -102,33 +109,111 @@ def subset_size(rule: str | int | None, columns: int) -> int:
     return min(columns, int(rule))
 
 
-def grow(rows: DataFrame, columns: int, max_depth: int, min_split: int = 2, min_leaf: int = 1, rule: str | int | None = None, keep=None, allowed: Column | None = None) -> DataFrame:
-    """The node table of every tree of rows (tree_id, x, y, m). allowed: a boolean over tree_id and feature, where trees see some features only. Lineage is cut between levels (keep: DataFrame -> DataFrame), so plans stay small and lost executors cost no regrowth."""
+def array_entropy(p: np.ndarray) -> np.ndarray:
+    """binary_entropy of an array."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((p <= 0) | (p >= 1), 0.0, -p * np.log2(p) - (1 - p) * np.log2(1 - p))
+
+
+def array_split(x: np.ndarray, y: np.ndarray, m: np.ndarray, features: list[int], min_leaf: int) -> tuple[int, float, float] | None:
+    """best_split of one node's arrays: (feature, threshold, gain), if any cut gains. NaN comes last, as in Spark."""
+    if not features:
+        return None
+    own = x[:, features]
+    order = np.argsort(own, axis=0, kind="stable")
+    v, n, pos = np.take_along_axis(own, order, 0), np.cumsum(m[order], 0), np.cumsum((m * y)[order], 0)
+    total, total_pos, left, left_pos, low, high = n[-1, 0], pos[-1, 0], n[:-1], pos[:-1], v[:-1], v[1:]
+    ok = ((low < high) | (np.isnan(high) & ~np.isnan(low))) & (left >= min_leaf) & (total - left >= min_leaf)
+    if not ok.any():
+        return None
+    apart = left * array_entropy(left_pos / left) + (total - left) * array_entropy((total_pos - left_pos) / (total - left))
+    gain = np.where(ok, np.round(array_entropy(total_pos / total) - apart / total, RANKED), 0.0)
+    # the first of equals in the order of features, then of values
+    k, i = divmod(int(np.argmax(gain.T)), len(gain))
+    if gain[i, k] <= 0:
+        return None
+    middle = (low[i, k] + high[i, k]) / 2
+    return features[k], float(middle if middle < high[i, k] else low[i, k]), float(gain[i, k])
+
+
+def finished(rows: DataFrame, columns: int, max_depth: int, min_split: int, min_leaf: int, k: int, seed: str = "3") -> DataFrame:
+    """The node tables below and with the nodes (tree_id, node_id) of rows, each grown in one task: for nodes whose size is known to be small. Rows with a list `only` use its features alone."""
+
+    def drawn(tree: int, node: int) -> list[int]:
+        at = [(int(hashlib.md5(f"{seed}:{tree}:{node}:{f}".encode()).hexdigest()[:8], 16), f) for f in range(columns)]
+        return sorted(f for _, f in sorted(at)[:k])
+
+    def below(key, part):
+        tree, root = key[0].as_py(), key[1].as_py()
+        part = part.combine_chunks()
+        x = np.asarray(pa.array(part["x"].combine_chunks().flatten()), dtype=float).reshape(len(part), columns)
+        y, m = (part[c].to_numpy().astype(float) for c in ("y", "m"))
+        only = sorted(part["only"][0].as_py() or []) if "only" in part.column_names else None
+        nodes, todo = [], [(root, np.arange(len(part)))]
+        while todo:
+            node, at = todo.pop()
+            n, pos, cut = m[at].sum(), (m * y)[at].sum(), None
+            if (node + 1).bit_length() - 1 < max_depth and n >= min_split and 0 < pos < n:
+                features = only if only is not None else drawn(tree, node) if k < columns else list(range(columns))
+                cut = array_split(x[at], y[at], m[at], features, min_leaf)
+            nodes.append({
+                "tree_id": tree, "node_id": node, "feature": cut and cut[0], "threshold": cut and cut[1], "is_leaf": cut is None,
+                "prediction": int(2 * pos > n), "proba": pos / n, "n": int(n), "gain": cut and cut[2],
+            })
+            if cut:
+                v = x[at, cut[0]]
+                right = (v > cut[1]) | np.isnan(v)
+                todo += [(2 * node + 1, at[~right]), (2 * node + 2, at[right])]
+        return pa.Table.from_pylist(nodes, schema)
+
+    wide = rows.schema["tree_id"].dataType.simpleString()
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16()}
+    schema = pa.schema([
+        ("tree_id", kinds[wide]), ("node_id", pa.int64()), ("feature", pa.int32()), ("threshold", pa.float64()), ("is_leaf", pa.bool_()),
+        ("prediction", pa.int32()), ("proba", pa.float64()), ("n", pa.int64()), ("gain", pa.float64()),
+    ])
+    ship(rows.sparkSession)
+    grown = rows.groupBy("tree_id", "node_id").applyInArrow(below, NODES.replace("tree_id int", f"tree_id {wide}"))
+    return grown.withColumn("gain", F.round("gain", DIGITS))
+
+
+def grow(rows: DataFrame, columns: int, max_depth: int, min_split: int = 2, min_leaf: int = 1, rule: str | int | None = None, keep=None, allowed: Column | None = None, task_cells: int = TASK_CELLS) -> DataFrame:
+    """The node table of every tree of rows (tree_id, x, y, m). allowed: a boolean over tree_id and feature, where trees see some features only. Lineage is cut between levels (keep: DataFrame -> DataFrame), so plans stay small and lost executors cost no regrowth. Nodes of at most task_cells values are grown to their end by one task each; the table is the same for any task_cells."""
     if rule is not None and allowed is not None:
         raise ValueError("a rule draws among all features: give rule or allowed")
     keep = keep or checkpointed
-    k = subset_size(rule, columns)
-    live = rows.select("tree_id", F.lit(0).cast("long").alias("node_id"), "x", "y", "m")
+    k, key = subset_size(rule, columns), ["tree_id", "node_id"]
+    live = rows.select("tree_id", F.lit(0).cast("long").alias("node_id"), F.col("x").cast("array<double>").alias("x"), "y", "m")
     out = None
     for depth in range(max_depth + 1):
         live = keep(live)
-        totals = live.groupBy("tree_id", "node_id").agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("y")).alias("pos"))
-        open_ = totals.where((F.col("n") >= min_split) & (F.col("pos") > 0) & (F.col("pos") < F.col("n"))).select("tree_id", "node_id")
-        if depth == max_depth:
-            found = open_.limit(0).selectExpr("tree_id", "node_id", "0 AS feature", "0D AS threshold", "0D AS gain")
-        else:
+        totals = keep(live.groupBy(*key).agg(F.sum("m").alias("n"), F.sum(F.col("m") * F.col("y")).alias("pos"), F.count(F.lit(1)).alias("size")))
+        opened = F.lit(depth < max_depth) & (F.col("n") >= min_split) & (F.col("pos") > 0) & (F.col("pos") < F.col("n"))
+        small = opened & (F.col("size") * columns <= task_cells)
+        there = totals.agg(F.bool_or(small).alias("small"), F.bool_or(opened & ~small).alias("large")).first()
+        if there.small:
+            few = live.join(totals.where(small).select(*key), key)
+            if allowed is not None:
+                seen = totals.select("tree_id").distinct().withColumn("feature", F.explode(F.sequence(F.lit(0), F.lit(columns - 1)))).where(allowed)
+                few = few.join(seen.groupBy("tree_id").agg(F.collect_list("feature").alias("only")), "tree_id", "left")
+            part = finished(few, columns, max_depth, min_split, min_leaf, k)
+            out = part if out is None else out.unionByName(part)
+        open_ = totals.where(opened & ~small).select(*key)
+        if there.large:
             # features are drawn once a node, not once a row
             asked = open_.withColumn("only", subset(k, columns)) if k < columns else open_
-            found = keep(best_split(live.join(asked, ["tree_id", "node_id"]), min_leaf, allowed))
-        level = totals.join(found, ["tree_id", "node_id"], "left").select(
-            "tree_id", "node_id", F.col("feature").cast("int").alias("feature"), "threshold", F.col("feature").isNull().alias("is_leaf"),
+            found = keep(best_split(live.join(asked, key), min_leaf, allowed))
+        else:
+            found = open_.limit(0).selectExpr(*key, "0 AS feature", "0D AS threshold", "0D AS gain")
+        level = totals.where(~small).join(found, key, "left").select(
+            *key, F.col("feature").cast("int").alias("feature"), "threshold", F.col("feature").isNull().alias("is_leaf"),
             F.when(2 * F.col("pos") > F.col("n"), 1).otherwise(0).alias("prediction"), (F.col("pos") / F.col("n")).alias("proba"), F.col("n").cast("long").alias("n"), "gain",
         )
         out = level if out is None else out.unionByName(level)
-        if depth == max_depth or found.isEmpty():
+        if not there.large or found.isEmpty():
             break
         right = (F.element_at("x", F.col("feature") + 1) > F.col("threshold")).cast("long")
-        live = live.join(found, ["tree_id", "node_id"]).select("tree_id", (2 * F.col("node_id") + 1 + right).alias("node_id"), "x", "y", "m")
+        live = live.join(found, key).select("tree_id", (2 * F.col("node_id") + 1 + right).alias("node_id"), "x", "y", "m")
     return keep(out)
 
 

@@ -397,3 +397,21 @@ def test_draws_are_spread_evenly(spark):
     assert counts.sum() == 100_000 and abs(counts.var() / 50 - 1) < 0.15
     by_replicate = [len({r.row_id for r in got if r.b == b}) / 2000 for b in range(50)]
     assert abs(np.mean(by_replicate) - (1 - math.exp(-1))) < 0.005
+
+
+@pytest.mark.parametrize("kind", ["all", "rule", "allowed"])
+def test_levels_and_single_tasks_grow_the_same_trees(spark, kind):
+    rng = np.random.default_rng(5)
+    rows = [(t, [float(rng.integers(30)), float(rng.random()), float(rng.choice([1.0, math.nan, 2.0]))], int(rng.random() < 0.4), int(rng.integers(1, 4))) for t in range(2) for _ in range(90)]
+    df = spark.createDataFrame(rows, "tree_id int, x array<double>, y int, m int")
+    own = {"all": {}, "rule": {"rule": "sqrt"}, "allowed": {"allowed": (F.col("feature") + F.col("tree_id")) % 3 != 0}}[kind]
+    # levels alone, the root by levels and the rest by tasks, tasks alone
+    found = [sorted(map(str, tree.grow(df, 3, 3, 6, 3, task_cells=cells, **own).collect())) for cells in ((0, 200, 10**6) if kind == "all" else (200, 10**6))]
+    assert len(found[0]) > 8 and all(f == found[0] for f in found)
+
+
+def test_a_tree_without_rows_or_features(spark):
+    empty = spark.createDataFrame([], "tree_id int, x array<double>, y int, m int")
+    assert tree.grow(empty, 3, 4).collect() == []
+    bare = spark.createDataFrame([(0, [], 0, 1), (0, [], 1, 2)], "tree_id int, x array<double>, y int, m int")
+    assert [(r.is_leaf, r.prediction, r.n) for r in tree.grow(bare, 0, 4).collect()] == [(True, 1, 3)]
