@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bracketry.operators import resample
+
 # Fixed value: probabilities are clipped by this for the logarithm.
 EPS = 1e-15
 
@@ -15,21 +17,35 @@ def _mean(value: Column, weight: Column | None) -> Column:
     return F.avg(value) if weight is None else F.sum(value * weight) / F.sum(weight)
 
 
+def right_of(y: Column, p: Column) -> Column:
+    return ((p > 0.5) == (y == 1)).cast("double")
+
+
+def loss_of(y: Column, p: Column) -> Column:
+    q = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
+    return -F.when(y == 1, F.log(q)).otherwise(F.log(1 - q))
+
+
+def square_of(y: Column, p: Column) -> Column:
+    return (p - y) * (p - y)
+
+
 def accuracy(y: Column, p: Column, m: Column | None = None) -> Column:
-    return _mean(((p > 0.5) == (y == 1)).cast("double"), m)
+    return _mean(right_of(y, p), m)
 
 
 def log_loss(y: Column, p: Column, m: Column | None = None) -> Column:
-    q = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
-    return -_mean(F.when(y == 1, F.log(q)).otherwise(F.log(1 - q)), m)
+    return _mean(loss_of(y, p), m)
 
 
 def brier(y: Column, p: Column, m: Column | None = None) -> Column:
-    return _mean((p - y) * (p - y), m)
+    return _mean(square_of(y, p), m)
 
 
 #: name, metric, whether lower is better.
 METRICS: tuple[tuple[str, Callable[..., Column], bool], ...] = (("accuracy", accuracy, False), ("log_loss", log_loss, True), ("brier", brier, True))
+#: What each metric is the mean of.
+OF_ROW: dict[str, Callable[[Column, Column], Column]] = {"accuracy": right_of, "log_loss": loss_of, "brier": square_of}
 
 
 def scores(rows: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -56,6 +72,13 @@ def intervals(rows: DataFrame, draws: DataFrame, value: Callable[[Column | None]
     return point.crossJoin(bounds)
 
 
+def mean_intervals(rows: DataFrame, n: int, value: Column, replicates: int, alpha: float = 0.05) -> DataFrame:
+    """intervals of the mean of a value of each row (row_id 0 .. n - 1), its draws worked out where they are used: none is sent."""
+    point = rows.agg(F.avg(value).alias("point"))
+    boot = resample.means(rows.select("row_id", value.alias("v")), n, ["v"], replicates)
+    return point.crossJoin(boot.agg(F.percentile("v", F.lit(alpha / 2)).alias("low"), F.percentile("v", F.lit(1 - alpha / 2)).alias("high")))
+
+
 def reliability(rows: DataFrame, bins: int = 10) -> DataFrame:
     """Bins [low, high) of equal width, the last closed; empty bins are left out."""
     edges = [i / bins for i in range(bins)]
@@ -77,8 +100,8 @@ def soft_vote(probas: DataFrame) -> DataFrame:
     return probas.groupBy("row_id").agg(F.avg("proba").alias("p"))
 
 
-def paired_differences(rows: DataFrame, draws: DataFrame, models: list[str], alpha: float = 0.05) -> DataFrame:
-    """(model, metric, score, delta, low, high, verdict) of each model against the first, on the same draws. rows: (row_id, y, models); draws: (b, row_id)."""
+def paired_differences(rows: DataFrame, draws: DataFrame | int, models: list[str], alpha: float = 0.05) -> DataFrame:
+    """(model, metric, score, delta, low, high, verdict) of each model against the first, on the same draws. rows: (row_id, y, models); draws: (b, row_id), or the number of replicates, which are then worked out where they are used."""
     from bracketry.functions.scalars import verdict
 
     base, rest = models[0], models[1:]
@@ -86,7 +109,11 @@ def paired_differences(rows: DataFrame, draws: DataFrame, models: list[str], alp
     y = F.col("y")
     value = lambda model, f: f(y, F.col(model))
     scored = rows.agg(*[value(m, f).alias(name(m, n)) for m in models for n, f, _ in METRICS])
-    boot = with_rows(draws, rows).groupBy("b").agg(*[(value(m, f) - value(base, f)).alias(name(m, n)) for m in rest for n, f, _ in METRICS])
+    if isinstance(draws, int):
+        apart = [(OF_ROW[n](y, F.col(m)) - OF_ROW[n](y, F.col(base))).alias(name(m, n)) for m in rest for n, _, _ in METRICS]
+        boot = resample.means(rows.select("row_id", *apart), rows.count(), [name(m, n) for m in rest for n, _, _ in METRICS], draws)
+    else:
+        boot = with_rows(draws, rows).groupBy("b").agg(*[(value(m, f) - value(base, f)).alias(name(m, n)) for m in rest for n, f, _ in METRICS])
     bounds = boot.agg(*[F.struct(F.percentile(name(m, n), F.lit(alpha / 2)).alias("low"), F.percentile(name(m, n), F.lit(1 - alpha / 2)).alias("high")).alias(f"ci_{name(m, n)}") for m in rest for n, _, _ in METRICS])
     both = scored.crossJoin(bounds)
     out = []

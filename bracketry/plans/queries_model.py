@@ -98,7 +98,7 @@ def out_of_bag(spark, sf_dir):
 @query("bootstrap_ci", BOUT + scored_sql() + BOOT + f", v AS (SELECT b, avg({loss_sql()}) AS v FROM b JOIN s USING (row_id) GROUP BY 1) SELECT round((SELECT avg({loss_sql()}) FROM s), 6) AS point, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
 def bootstrap_ci(spark, sf_dir):
     rows = checkpointed(scored(spark, sf_dir))
-    out = metrics.intervals(rows, splits.drawn(rows, rows.count(), REPLICATES), lambda m: metrics.log_loss(F.col("y"), F.col("p"), m))
+    out = metrics.mean_intervals(rows, rows.count(), metrics.loss_of(F.col("y"), F.col("p")), REPLICATES)
     return out.select(*[rnd(F.col(c)).alias(c) for c in out.columns])
 
 
