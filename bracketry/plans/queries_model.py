@@ -107,7 +107,7 @@ PAIRED = BOUT + scored_sql() + BOOT + f", v AS (SELECT b, avg({loss_sql()}) - av
 
 def paired(spark, sf_dir):
     rows = checkpointed(scored(spark, sf_dir))
-    return metrics.intervals(rows, splits.drawn(rows, rows.count(), REPLICATES), lambda m: metrics.log_loss(F.col("y"), F.col("p"), m) - metrics.log_loss(F.col("y"), F.col("p2"), m))
+    return metrics.mean_intervals(rows, rows.count(), metrics.loss_of(F.col("y"), F.col("p")) - metrics.loss_of(F.col("y"), F.col("p2")), REPLICATES)
 
 
 @query("paired_ci", PAIRED + " SELECT round(point, 6) AS point, round(low, 6) AS low, round(high, 6) AS high FROM i")
