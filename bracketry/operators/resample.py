@@ -60,9 +60,10 @@ def narrow(codes: np.ndarray, distinct: int) -> np.ndarray:
     return codes.astype(np.uint8 if distinct <= 1 << 8 else np.uint16 if distinct <= 1 << 16 else np.uint32)
 
 
-def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """(chunk, start, distinct, codes, tuples) of rows (row_id, columns of numbers), row_id 0 .. n - 1."""
+def packed(rows: DataFrame, columns: list[str], width: int | None = None) -> DataFrame:
+    """(chunk, start, distinct, codes, tuples) of rows (row_id, columns of numbers), row_id 0 .. n - 1. width: rows of a chunk, 65,536 at most."""
     ship(rows.sparkSession)
+    width = width or CHUNK
 
     def pack(key, part):
         ids = part["row_id"].to_numpy()
@@ -72,7 +73,7 @@ def packed(rows: DataFrame, columns: list[str]) -> DataFrame:
         own = {"chunk": [key[0].as_py()], "start": [int(ids.min())], "distinct": [len(tuples)], "codes": [narrow(codes, len(tuples)).tobytes()], "tuples": [tuples.tobytes()]}
         return pa.table(own, pa.schema([*[(c, pa.int64()) for c in ("chunk", "start", "distinct")], ("codes", pa.binary()), ("tuples", pa.binary())]))
 
-    chunked = rows.select(F.floor(F.col("row_id") / CHUNK).cast("long").alias("chunk"), "row_id", *[F.col(c).cast("double").alias(c) for c in columns])
+    chunked = rows.select(F.floor(F.col("row_id") / width).cast("long").alias("chunk"), "row_id", *[F.col(c).cast("double").alias(c) for c in columns])
     return checkpointed(chunked.groupBy("chunk").applyInArrow(pack, "chunk long, start long, distinct long, codes binary, tuples binary"))
 
 

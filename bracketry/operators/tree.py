@@ -136,45 +136,56 @@ def array_split(x: np.ndarray, y: np.ndarray, m: np.ndarray, features: list[int]
     return features[k], float(middle if middle < high[i, k] else low[i, k]), float(gain[i, k])
 
 
+def drawn_features(tree: int, node: int, k: int, columns: int, seed: str = "3") -> list[int]:
+    """subset of one node."""
+    if k >= columns:
+        return list(range(columns))
+    at = [(int(hashlib.md5(f"{seed}:{tree}:{node}:{f}".encode()).hexdigest()[:8], 16), f) for f in range(columns)]
+    return sorted(f for _, f in sorted(at)[:k])
+
+
+def node_schema(tree_id: pa.DataType) -> pa.Schema:
+    return pa.schema([
+        ("tree_id", tree_id), ("node_id", pa.int64()), ("feature", pa.int32()), ("threshold", pa.float64()), ("is_leaf", pa.bool_()),
+        ("prediction", pa.int32()), ("proba", pa.float64()), ("n", pa.int64()), ("gain", pa.float64()),
+    ])
+
+
+def grown(tree: int, root: int, x: np.ndarray, y: np.ndarray, m: np.ndarray, max_depth: int, min_split: int, min_leaf: int, features) -> list[dict]:
+    """The nodes from root down, of arrays. features: (tree, node) -> the features it may use."""
+    nodes, todo = [], [(root, np.arange(len(y)))]
+    while todo:
+        node, at = todo.pop()
+        n, pos, cut = m[at].sum(), (m[at] * y[at]).sum(), None
+        if (node + 1).bit_length() - 1 < max_depth and n >= min_split and 0 < pos < n:
+            cut = array_split(x[at], y[at], m[at], features(tree, node), min_leaf)
+        nodes.append({
+            "tree_id": tree, "node_id": node, "feature": cut and cut[0], "threshold": cut and cut[1], "is_leaf": cut is None,
+            "prediction": int(2 * pos > n), "proba": pos / n, "n": int(n), "gain": cut and cut[2],
+        })
+        if cut:
+            v = x[at, cut[0]]
+            right = (v > cut[1]) | np.isnan(v)
+            todo += [(2 * node + 1, at[~right]), (2 * node + 2, at[right])]
+    return nodes
+
+
 def finished(rows: DataFrame, columns: int, max_depth: int, min_split: int, min_leaf: int, k: int, seed: str = "3") -> DataFrame:
     """The node tables below and with the nodes (tree_id, node_id) of rows, each grown in one task: for nodes whose size is known to be small. Rows with a list `only` use its features alone."""
 
-    def drawn(tree: int, node: int) -> list[int]:
-        at = [(int(hashlib.md5(f"{seed}:{tree}:{node}:{f}".encode()).hexdigest()[:8], 16), f) for f in range(columns)]
-        return sorted(f for _, f in sorted(at)[:k])
-
     def below(key, part):
-        tree, root = key[0].as_py(), key[1].as_py()
         part = part.combine_chunks()
         x = np.asarray(pa.array(part["x"].combine_chunks().flatten()), dtype=float).reshape(len(part), columns)
         y, m = (part[c].to_numpy().astype(float) for c in ("y", "m"))
         only = sorted(part["only"][0].as_py() or []) if "only" in part.column_names else None
-        nodes, todo = [], [(root, np.arange(len(part)))]
-        while todo:
-            node, at = todo.pop()
-            n, pos, cut = m[at].sum(), (m * y)[at].sum(), None
-            if (node + 1).bit_length() - 1 < max_depth and n >= min_split and 0 < pos < n:
-                features = only if only is not None else drawn(tree, node) if k < columns else list(range(columns))
-                cut = array_split(x[at], y[at], m[at], features, min_leaf)
-            nodes.append({
-                "tree_id": tree, "node_id": node, "feature": cut and cut[0], "threshold": cut and cut[1], "is_leaf": cut is None,
-                "prediction": int(2 * pos > n), "proba": pos / n, "n": int(n), "gain": cut and cut[2],
-            })
-            if cut:
-                v = x[at, cut[0]]
-                right = (v > cut[1]) | np.isnan(v)
-                todo += [(2 * node + 1, at[~right]), (2 * node + 2, at[right])]
-        return pa.Table.from_pylist(nodes, schema)
+        features = lambda tree, node: only if only is not None else drawn_features(tree, node, k, columns, seed)
+        return pa.Table.from_pylist(grown(key[0].as_py(), key[1].as_py(), x, y, m, max_depth, min_split, min_leaf, features), schema)
 
     wide = rows.schema["tree_id"].dataType.simpleString()
-    kinds = {"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16()}
-    schema = pa.schema([
-        ("tree_id", kinds[wide]), ("node_id", pa.int64()), ("feature", pa.int32()), ("threshold", pa.float64()), ("is_leaf", pa.bool_()),
-        ("prediction", pa.int32()), ("proba", pa.float64()), ("n", pa.int64()), ("gain", pa.float64()),
-    ])
+    schema = node_schema({"int": pa.int32(), "bigint": pa.int64(), "smallint": pa.int16()}[wide])
     ship(rows.sparkSession)
-    grown = rows.groupBy("tree_id", "node_id").applyInArrow(below, NODES.replace("tree_id int", f"tree_id {wide}"))
-    return grown.withColumn("gain", F.round("gain", DIGITS))
+    grown_ = rows.groupBy("tree_id", "node_id").applyInArrow(below, NODES.replace("tree_id int", f"tree_id {wide}"))
+    return grown_.withColumn("gain", F.round("gain", DIGITS))
 
 
 def grow(rows: DataFrame, columns: int, max_depth: int, min_split: int = 2, min_leaf: int = 1, rule: str | int | None = None, keep=None, allowed: Column | None = None, task_cells: int = TASK_CELLS) -> DataFrame:

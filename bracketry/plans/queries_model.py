@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from bracketry.functions import scalars as S
-from bracketry.operators import history, matchup, metrics, quality, rating, splits, tree
+from bracketry.operators import forest as forests
+from bracketry.operators import history, matchup, metrics, quality, rating, resample, splits, tree
 from bracketry.plans.adapters import bouts, cte
 from bracketry.plans.queries import FEATURES, feature_table, query, rnd
 from bracketry.session import checkpointed, table
@@ -291,10 +292,14 @@ FOLD_TREES = (("fixed depth", 4, 50, 25), ("matched", 12, 10, 5))
 
 
 def forest(spark, sf_dir):
-    rows = learn_rows(spark, sf_dir)
-    numbered = splits.numbered(rows.withColumnRenamed("row_id", "key"), "key")
-    drawn = splits.bootstrap(numbered, numbered.count(), TREES)
-    return numbered, drawn, tree.grow(tree.bagged(numbered, drawn), columns=2, max_depth=DEPTH, min_split=10, min_leaf=5, rule="sqrt")
+    """The numbered rows, how many there are, and the node table of the forest over them."""
+    rows = checkpointed(splits.numbered(learn_rows(spark, sf_dir).withColumnRenamed("row_id", "key"), "key"))
+    n = rows.count()
+    return rows, n, forests.fit(rows.select("row_id", "x", F.array("y").alias("ys")), n, TREES, columns=2, max_depth=DEPTH, min_split=10, min_leaf=5, rule="sqrt")
+
+
+def most():
+    return F.when(2 * F.col("votes") > F.col("n"), 1).otherwise(0)
 
 
 @query("forest_fit", None)
@@ -305,19 +310,15 @@ def forest_fit(spark, sf_dir):
 @query("forest_predict", None)
 def forest_predict(spark, sf_dir):
     rows, _, nodes = forest(spark, sf_dir)
-    each = tree.predict(rows, nodes, DEPTH)
-    hard = metrics.majority_vote(each.select("tree_id", "row_id", F.col("prediction").alias("vote")), rows)
-    return hard.join(metrics.soft_vote(each), "row_id")
+    return forests.votes(rows, nodes, 2, DEPTH, [(0, TREES)]).select("row_id", most().alias("vote"), (F.col("proba") / F.col("n")).alias("p"))
 
 
 @query("oob_score", None)
 def oob_score(spark, sf_dir):
     """Accuracy from the votes of trees that never drew the row; abstained rows are left out."""
-    rows, drawn, nodes = forest(spark, sf_dir)
-    unseen = splits.out_of_bag(rows, drawn, TREES).withColumnRenamed("b", "tree_id")
-    each = tree.predict(rows, nodes, DEPTH).join(unseen, ["tree_id", "row_id"])
-    voted = metrics.majority_vote(each.select("tree_id", "row_id", F.col("prediction").alias("vote")), rows).where("vote >= 0")
-    return voted.join(rows.select("row_id", "y"), "row_id").agg(F.avg((F.col("vote") == F.col("y")).cast("double")).alias("oob"), F.count(F.lit(1)).alias("n"))
+    rows, n, nodes = forest(spark, sf_dir)
+    voted = forests.votes(rows, nodes, 2, DEPTH, [(0, TREES)], forests.unseen(spark, n, TREES)).where("n > 0")
+    return voted.join(rows.select("row_id", "y"), "row_id").agg(F.avg((most() == F.col("y")).cast("double")).alias("oob"), F.count(F.lit(1)).alias("n"))
 
 
 @query("depth_sweep", None)
@@ -334,10 +335,9 @@ def depth_sweep(spark, sf_dir):
 def trees_sweep(spark, sf_dir):
     """Accuracy of the first k trees: a forest's prefix is the smaller forest."""
     rows, _, nodes = forest(spark, sf_dir)
-    counts = F.filter(F.array(*[F.lit(k) for k in TREE_COUNTS]), lambda k: k > F.col("tree_id"))
-    each = tree.predict(rows, nodes, DEPTH).withColumn("k", F.explode(counts))
-    hard = each.groupBy("k", "row_id").agg(F.when(2 * F.sum("prediction") > F.count(F.lit(1)), 1).otherwise(0).alias("vote"))
-    return hard.join(rows.select("row_id", "y"), "row_id").groupBy("k").agg(F.avg((F.col("vote") == F.col("y")).cast("double")).alias("accuracy"))
+    hard = forests.votes(rows, nodes, 2, DEPTH, [(0, k) for k in TREE_COUNTS])
+    k = F.get(F.array(*[F.lit(k) for k in TREE_COUNTS]), F.col("part"))
+    return hard.join(rows.select("row_id", "y"), "row_id").groupBy(k.alias("k")).agg(F.avg((most() == F.col("y")).cast("double")).alias("accuracy"))
 
 
 @query("run_walk_forward", None)
@@ -369,15 +369,16 @@ def shuffled_label_control(spark, sf_dir):
     dealt = ranked.select("seed", F.col("own").alias("row_id"), F.col("row_id").alias("k")).join(rows.select(F.col("row_id").alias("k"), "y"), "k")
     shuffled = checkpointed(dealt.join(rows.select("row_id", "x"), "row_id").select("seed", "row_id", "x", "y"))
     # a tree's number tells its seed: no two seeds share a tree
-    drawn = splits.bootstrap(rows.where(F.col("row_id") < cut), cut, CONTROL_TREES * len(SEEDS))
-    seed_of = F.element_at(F.array(*[F.lit(s) for s in SEEDS]), F.floor(F.col("b") / CONTROL_TREES).cast("int") + 1)
-    train = drawn.withColumn("seed", seed_of).join(shuffled, ["seed", "row_id"]).select(F.col("b").alias("tree_id"), "x", "y", "m")
-    nodes = tree.grow(train, columns=2, max_depth=DEPTH, min_split=10, min_leaf=5, rule="sqrt")
-    each = tree.predict(rows.where(F.col("row_id") >= cut), nodes, DEPTH).withColumnRenamed("tree_id", "b").withColumn("seed", seed_of)
-    scored_rows = checkpointed(each.groupBy("seed", "row_id").agg(F.avg("proba").alias("p")).join(shuffled.select("seed", "row_id", "y"), ["seed", "row_id"]))
-    test = rows.where(F.col("row_id") >= cut).select((F.col("row_id") - cut).alias("row_id"))
-    draws = splits.bootstrap(test, n - cut, CONTROL_DRAWS, 9).withColumn("row_id", F.col("row_id") + cut)
-    boot = draws.join(scored_rows, "row_id").groupBy("seed", "b").agg(metrics.accuracy(F.col("y"), F.col("p"), F.col("m")).alias("v"))
+    labels = shuffled.where(F.col("row_id") < cut).groupBy("row_id").agg(F.any_value("x").alias("x"), F.array(*[F.max(F.when(F.col("seed") == s, F.col("y"))) for s in SEEDS]).alias("ys"))
+    nodes = forests.fit(labels, cut, CONTROL_TREES * len(SEEDS), 2, DEPTH, 10, 5, "sqrt", labels=len(SEEDS))
+    test = rows.where(F.col("row_id") >= cut).select((F.col("row_id") - cut).alias("row_id"), "x")
+    each = forests.votes(test, nodes, 2, DEPTH, [(k * CONTROL_TREES, (k + 1) * CONTROL_TREES) for k in range(len(SEEDS))])
+    seed_of = F.get(F.array(*[F.lit(s) for s in SEEDS]), F.col("part"))
+    truth = shuffled.where(F.col("row_id") >= cut).select("seed", (F.col("row_id") - cut).alias("row_id"), "y")
+    scored_rows = checkpointed(each.select(seed_of.alias("seed"), "row_id", (F.col("proba") / F.col("n")).alias("p")).join(truth, ["seed", "row_id"]))
+    right = [F.max(F.when(F.col("seed") == s, metrics.right_of(F.col("y"), F.col("p")))).alias(f"v{s}") for s in SEEDS]
+    drawn = resample.means(scored_rows.groupBy("row_id").agg(*right), n - cut, [f"v{s}" for s in SEEDS], CONTROL_DRAWS, 9)
+    boot = drawn.select("b", F.inline(F.array(*[F.struct(F.lit(s).alias("seed"), F.col(f"v{s}").alias("v")) for s in SEEDS])))
     bounds = boot.groupBy("seed").agg(F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"))
     found = scored_rows.groupBy("seed").agg(metrics.accuracy(F.col("y"), F.col("p")).alias("accuracy"), F.greatest(F.avg("y"), 1 - F.avg("y")).alias("base_rate")).join(bounds, "seed")
     clear = F.col("base_rate") >= F.col("low") - 1e-9
