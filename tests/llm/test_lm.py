@@ -152,6 +152,21 @@ def test_the_fit_takes_each_token_out_of_its_counts():
     assert n[0] == 0 and lm.filled(weight, n)[5] == weight[3]
 
 
+def test_the_fit_covers_every_training_row(spark, sf, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 2000)
+    seen, filled = [], lm.filled
+    monkeypatch.setattr(lm, "filled", lambda weight, n: (seen.append(n.sum()), filled(weight, n))[1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).select("doc_id", "text")
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    lm.score(docs).collect()
+    counts = counted(rows, held)
+    parts = [p for i, t in rows if not held(i) for p in token_parts(split(t), counts)]
+    # without its own occurrence a context must be left; those of two or three stand for one, too; the filter may raise counts
+    assert seen[0] == sum(cv > 1 for _, _, cv, _, _ in parts)
+    assert seen[1] == pytest.approx(sum(cuv > 1 for *_, cuv in parts) + sum(level(cuv) == 2 for *_, cuv in parts), rel=0.1)
+
+
 def test_string_ids_and_rows_that_are_alike(spark, monkeypatch):
     monkeypatch.setattr(substring, "BLOCK_BYTES", 100)
     docs = spark.createDataFrame([("a", "one two three one two three")] * 40 + [(None, "")] * 40 + [("b", "one two")], "doc_id string, text string").repartition(3)
