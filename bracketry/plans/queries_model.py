@@ -418,7 +418,7 @@ def ablation_scores(spark, sf_dir):
 def ablation(spark, sf_dir):
     """Test scores of six sets of features and their paired differences from the first."""
     rows = ablation_scores(spark, sf_dir)
-    return metrics.paired_differences(rows, splits.drawn(rows, rows.count(), REPLICATES), [name for name, _ in VARIANTS])
+    return metrics.paired_differences(rows, REPLICATES, [name for name, _ in VARIANTS])
 
 
 @query("external_agreement", None)

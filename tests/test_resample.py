@@ -37,10 +37,10 @@ def test_means_are_those_of_joined_draws(spark, monkeypatch, slice_bytes):
     assert all(got[r[0]] == pytest.approx((r[1], r[2]), abs=1e-12) for r in want)
 
 
-@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_ci", "verdict"])
+@pytest.mark.parametrize("name", ["bootstrap_ci", "paired_ci", "verdict", "ablation"])
 def test_intervals_send_no_draws(spark, sf, monkeypatch, name):
     monkeypatch.setattr(splits, "drawn", no_draw_is_sent)
-    assert QUERIES[name](spark, sf).count() == 1
+    assert QUERIES[name](spark, sf).count() == (18 if name == "ablation" else 1)
 
 
 def test_paired_differences_by_number_of_replicates(spark):
