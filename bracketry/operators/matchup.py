@@ -148,15 +148,15 @@ def infer_class(asked: DataFrame, log: DataFrame) -> DataFrame:
     return out.select(*asked.columns, F.coalesce("latest_a", "latest_b").alias("cls"))
 
 
-def matrix(features: DataFrame, names: tuple[str, ...] = STATIC) -> DataFrame:
-    """(bout_id, x array<double> in the order of names, y); an unknown stance raises, and so does a name without a column."""
+def matrix(features: DataFrame, names: tuple[str, ...] = STATIC, also: tuple[str, ...] = ()) -> DataFrame:
+    """(bout_id, x array<double> in the order of names, y, and columns that also names); an unknown stance raises, and so does a name without a column."""
     stance = F.col("stance_matchup")
     made = {"stance_same": stance == "Same", "stance_unknown": stance == "Unknown"}
     if missing := [n for n in names if n not in made and n not in features.columns]:
         raise ValueError(f"no such feature: {', '.join(missing)}")
     x = F.array(*[made.get(n, F.col(n)).cast("double") for n in names]).cast("array<double>")
     bad = F.raise_error(F.concat(F.lit("unknown stance: "), F.coalesce(stance, F.lit("none"))))
-    return features.select("bout_id", F.when(F.coalesce(stance.isin(*STANCES), F.lit(False)), x).otherwise(bad).alias("x"), F.col("label").alias("y"))
+    return features.select("bout_id", F.when(F.coalesce(stance.isin(*STANCES), F.lit(False)), x).otherwise(bad).alias("x"), F.col("label").alias("y"), *also)
 
 
 def feature_names(rolling: bool = False, context: bool = False, weight: bool = False, pruned: bool = False) -> list[str]:

@@ -38,11 +38,15 @@ def cut_places(n: int, folds: int = 8, least_share: float = 0.5) -> list[int]:
     return sorted({int(start + (n - 1 - start) * i / folds) for i in range(folds + 1)})
 
 
+def fold_bounds(dates: list, folds: int = 8, least_share: float = 0.5) -> list[tuple]:
+    """(fold, first of the test part, first of the next fold or none) of rising dates."""
+    at = cut_places(len(dates), folds, least_share)
+    return [(i, dates[a], dates[b] if i < len(at) - 2 else None) for i, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+
+
 def walk_forward(rows: DataFrame, folds: int = 8, least_share: float = 0.5) -> DataFrame:
     """(fold, role, rows' columns): training is all before a fold's first date, testing the dates up to the next fold; the last runs to the end."""
-    dates = [r[0] for r in rows.select("dt").where(F.col("dt").isNotNull()).distinct().orderBy("dt").toLocalIterator()]
-    at = cut_places(len(dates), folds, least_share)
-    cuts = [(i, dates[a], dates[b] if i < len(at) - 2 else None) for i, (a, b) in enumerate(zip(at, at[1:], strict=False))]
+    cuts = fold_bounds([r[0] for r in rows.select("dt").where(F.col("dt").isNotNull()).distinct().orderBy("dt").toLocalIterator()], folds, least_share)
     bounds = F.array(*[F.struct(F.lit(i).alias("fold"), F.lit(a).alias("start"), F.lit(b).cast("date").alias("stop")) for i, a, b in cuts]) if cuts else F.array().cast("array<struct<fold:int,start:date,stop:date>>")
     spread = rows.where(F.col("dt").isNotNull()).select("*", F.explode(bounds).alias("f"))
     role = F.when(F.col("dt") < F.col("f.start"), "train").when(F.col("f.stop").isNull() | (F.col("dt") < F.col("f.stop")), "test")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from bracketry.functions import scalars as S
 from bracketry.operators import forest as forests
-from bracketry.operators import history, matchup, metrics, quality, rating, resample, splits, tree
+from bracketry.operators import histogram, history, matchup, metrics, quality, rating, resample, splits, tree
 from bracketry.plans.adapters import bouts, cte
 from bracketry.plans.queries import FEATURES, feature_table, query, rnd
 from bracketry.session import checkpointed, table
@@ -342,18 +344,17 @@ def trees_sweep(spark, sf_dir):
 
 @query("run_walk_forward", None)
 def run_walk_forward(spark, sf_dir):
-    """Every fold refits each model: folds take the place of trees, so all folds of a model grow in one level-wise plan."""
-    features = feature_table(spark, sf_dir)
+    """Every fold refits each model: folds take the place of trees, so all folds of all models grow together, level by level, over rows that are packed once."""
     names = tuple(matchup.feature_names(context=True, weight=True))
-    dated = matchup.matrix(features, names).join(features.select("bout_id", "dt"), "bout_id").withColumnRenamed("bout_id", "row_id")
-    folds = splits.walk_forward(checkpointed(dated)).withColumnRenamed("fold", "tree_id")
-    test, out = folds.where("role = 'test'"), None
-    for model, depth, min_split, min_leaf in FOLD_TREES:
-        nodes = tree.grow(folds.where("role = 'train'").withColumn("m", F.lit(1)), columns=len(names), max_depth=depth, min_split=min_split, min_leaf=min_leaf)
-        each = tree.predict(test.select("row_id", "x").distinct(), nodes, depth).join(test.select("tree_id", "row_id", "y", "dt"), ["tree_id", "row_id"])
-        one = each.withColumn("p", F.col("proba")).groupBy("tree_id").agg(*[f(F.col("y"), F.col("p")).alias(n) for n, f, _ in metrics.METRICS], F.min("dt").alias("first"), F.max("dt").alias("last"), F.count(F.lit(1)).alias("n")).withColumn("model", F.lit(model))
-        out = one if out is None else out.unionByName(one)
-    return out
+    dated = matchup.matrix(feature_table(spark, sf_dir), names, ("dt",)).where("dt IS NOT NULL")
+    chunks = histogram.packed(dated.select("x", "y", F.unix_date("dt").alias("at")), len(names))
+    folds = splits.fold_bounds([at for at, _, _ in histogram.totals(chunks)])
+    asked = [(histogram.Tree(model * len(folds) + fold, start, *how), start, math.inf if stop is None else stop) for model, (_, *how) in enumerate(FOLD_TREES) for fold, start, stop in folds]
+    nodes = histogram.grow(chunks, len(names), [t for t, _, _ in asked])
+    model = F.get(F.array(*[F.lit(name) for name, *_ in FOLD_TREES]), F.floor(F.col("tree_id") / max(len(folds), 1)).cast("int"))
+    each = histogram.answers(chunks, nodes, asked).select(F.pmod("tree_id", F.lit(max(len(folds), 1))).cast("int").alias("tree_id"), model.alias("model"), "y", "p", F.date_from_unix_date(F.col("at").cast("int")).alias("dt"))
+    scores = each.groupBy("tree_id", "model").agg(*[f(F.col("y"), F.col("p")).alias(n) for n, f, _ in metrics.METRICS], F.min("dt").alias("first"), F.max("dt").alias("last"), F.count(F.lit(1)).alias("n"))
+    return scores.select("tree_id", *[n for n, _, _ in metrics.METRICS], "first", "last", "n", "model")
 
 
 @query("shuffled_label_control", None)
