@@ -25,6 +25,17 @@ def boundary(rows: DataFrame, test_share: float = 0.18) -> DataFrame:
     return days.withColumns({"upto": upto, "place": place}).where(F.col("upto") > F.col("place")).agg(F.min("dt").alias("boundary"))
 
 
+def boundary_of(days: list[tuple[float, int]], test_share: float = 0.18) -> float | None:
+    """boundary of (day, rows) by rising day; none without rows."""
+    total = sum(n for _, n in days)
+    place, upto = min(max(round(total * (1 - test_share)), 1), total - 1), 0
+    for day, n in days:
+        upto += n
+        if upto > place:
+            return day
+    return None
+
+
 def chronological(rows: DataFrame, test_share: float = 0.18) -> DataFrame:
     """rows with is_test; a date is never on both sides, rows without a date are for training."""
     return rows.crossJoin(F.broadcast(boundary(rows, test_share))).withColumn("is_test", F.coalesce(F.col("dt") >= F.col("boundary"), F.lit(False)))

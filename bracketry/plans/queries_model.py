@@ -10,9 +10,9 @@ from pyspark.sql import window as W
 from bracketry.functions import scalars as S
 from bracketry.operators import forest as forests
 from bracketry.operators import histogram, history, matchup, metrics, quality, rating, resample, splits, tree
-from bracketry.plans.adapters import bouts, cte
+from bracketry.plans.adapters import bouts, cte, entities
 from bracketry.plans.queries import FEATURES, feature_table, query, rnd
-from bracketry.session import checkpointed, table
+from bracketry.session import checkpointed, stored, table
 
 BOUT = cte("bout")
 
@@ -399,20 +399,24 @@ VARIANTS = (
 
 
 def ablation_scores(spark, sf_dir):
-    """(row_id, y and a column for each variant) of the test part: all variants' trees grow in one plan, each seeing its own columns."""
-    log = checkpointed(history.event_log(bouts(spark, sf_dir)))
-    ratings = rating.elo(log).select("bout_id", "ent", "elo_pre")
-    rows = matchup.training_rows(feature_table(spark, sf_dir), history.features(log, ratings))
+    """(row_id, y and a column for each variant) of the test part: all variants' trees grow together over rows that are packed once, each seeing its own columns."""
     names = matchup.feature_names(rolling=True, context=True, weight=True)
-    x = matchup.matrix(rows, tuple(names)).join(rows.select("bout_id", "dt"), "bout_id").withColumnRenamed("bout_id", "key")
-    x = checkpointed(splits.chronological(x))
-    _, depth, min_split, min_leaf = FOLD_TREES[0]
-    trees = F.explode(F.sequence(F.lit(0), F.lit(len(VARIANTS) - 1))).alias("tree_id")
-    sees = F.array(*[F.array(*[F.lit(names.index(n)) for n in own]) for _, own in VARIANTS])
-    nodes = tree.grow(x.where("NOT is_test").select(trees, "x", "y", F.lit(1).alias("m")), len(names), depth, min_split, min_leaf, allowed=F.array_contains(F.get(sees, F.col("tree_id")), F.col("feature")))
-    test = splits.numbered(x.where("is_test").select("key", "x", "y"), "key")
-    each = tree.predict(test, nodes, depth).groupBy("row_id").agg(*[F.max(F.when(F.col("tree_id") == k, F.col("proba"))).alias(name) for k, (name, _) in enumerate(VARIANTS)])
-    return checkpointed(each.join(test.select("row_id", "y"), "row_id"))
+    with stored(matchup.decisive(bouts(spark, sf_dir))) as own:
+        log = history.event_log(own)
+        ratings = rating.elo(log).select("bout_id", "ent", "elo_pre")
+        rows = matchup.training_rows(matchup.feature_table(own, entities(spark, sf_dir)), history.features(log, ratings))
+        # the bout's number comes along in two columns that no tree sees: a double holds 53 bits
+        key = F.array(F.shiftright("bout_id", 32).cast("double"), F.col("bout_id").bitwiseAND(F.lit((1 << 32) - 1)).cast("double"))
+        at = F.coalesce(F.unix_date("dt").cast("double"), F.lit(-math.inf))
+        chunks = histogram.packed(matchup.matrix(rows, tuple(names), ("dt",)).select(F.concat("x", key).alias("x"), "y", at.alias("at")), len(names) + 2)
+    start = splits.boundary_of([(day, n) for day, n, _ in histogram.totals(chunks) if day > -math.inf])
+    start = math.inf if start is None else start
+    trees = [histogram.Tree(k, start, *FOLD_TREES[0][1:]) for k in range(len(VARIANTS))]
+    nodes = histogram.grow(chunks, len(names), trees, sees={k: sorted(names.index(n) for n in own) for k, (_, own) in enumerate(VARIANTS)})
+    each = checkpointed(histogram.side_by_side(chunks, nodes, trees, start, [len(names), len(names) + 1]))
+    bout = F.shiftleft(F.col("c0").cast("long"), 32) + F.col("c1").cast("long")
+    test = each.select(bout.alias("key"), "y", *[F.col(f"p{k}").alias(name) for k, (name, _) in enumerate(VARIANTS)])
+    return checkpointed(splits.numbered(test, "key").drop("key"))
 
 
 @query("ablation", None)
