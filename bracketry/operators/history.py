@@ -111,19 +111,20 @@ def rate(stat: str, per: float) -> Column:
     return F.when(F.col(f"t_{stat}") > 0, F.col(f"s_{stat}") / F.col(f"t_{stat}") * per)
 
 
-def features(log: DataFrame, ratings: DataFrame | None = None) -> DataFrame:
-    """The log with each row's as-of features. ratings: (bout_id, ent, elo_pre)."""
-    return features_at(log, None, ratings)
+def features(log: DataFrame, ratings: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
+    """The log with each row's as-of features. ratings: (bout_id, ent, elo_pre); known as in features_at."""
+    return features_at(log, None, ratings, known)
 
 
-def features_at(log: DataFrame, asked: DataFrame | None, ratings: DataFrame | None = None) -> DataFrame:
+def features_at(log: DataFrame, asked: DataFrame | None, ratings: DataFrame | None = None, known: DataFrame | None = None) -> DataFrame:
     """The rows of asked (ent, dt, cls, ...), or of the log itself, with their as-of features.
 
     ratings has elo_pre and any of the rows' columns to join by, such as bout_id and ent
     (the rating that a bout began with) or ent and dt (the rating before a day);
-    without a rating a row has that of a debutant. A rate whose statistic the log lacks is missing.
+    without a rating a row has that of a debutant. known: the priors of the whole log,
+    where log has all rows of some entities only. A rate whose statistic the log lacks is missing.
     """
-    known = priors(log)
+    known = priors(log) if known is None else known
     # one row, for an empty log too
     world = F.broadcast(known.where("is_global").agg(*[F.coalesce(F.max(c), F.lit(0.5)).alias(f"g_{c}") for c in ("win_rate", "finish_rate", "finished_rate")]))
     # a row for each class, summed before: as bounded as the list of classes; adaptive execution broadcasts it by its size

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from contextlib import ExitStack
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
@@ -398,17 +401,31 @@ VARIANTS = (
 )
 
 
+#: Slices that the as-of features of many bouts are worked out in, one after the other.
+SLICES = 8
+
+
 def ablation_scores(spark, sf_dir):
     """(row_id, y and a column for each variant) of the test part: all variants' trees grow together over rows that are packed once, each seeing its own columns."""
     names = matchup.feature_names(rolling=True, context=True, weight=True)
-    with stored(matchup.decisive(bouts(spark, sf_dir))) as own:
+    parts = []
+    with ExitStack() as whole:
+        own = whole.enter_context(stored(matchup.decisive(bouts(spark, sf_dir))))
+        # a slice at a time, each with all rows of its entities or bouts, so that shuffle files are those of one slice
+        slices = min(SLICES, 1 + (own.count() >> 18))
+        of = lambda df, key, k: df.where(F.pmod(F.xxhash64(key), F.lit(slices)) == k) if slices > 1 else df
         log = history.event_log(own)
-        ratings = rating.elo(log).select("bout_id", "ent", "elo_pre")
-        rows = matchup.training_rows(matchup.feature_table(own, entities(spark, sf_dir)), history.features(log, ratings))
+        known = checkpointed(history.priors(log))
+        with stored(rating.elo(log).select("bout_id", "ent", "elo_pre")) as ratings:
+            as_of = [whole.enter_context(stored(history.features(of(log, "ent", k), of(ratings, "ent", k), known).select("bout_id", "ent", "support", *history.AS_OF))) for k in range(slices)]
+        as_of = functools.reduce(DataFrame.unionByName, as_of)
         # the bout's number comes along in two columns that no tree sees: a double holds 53 bits
         key = F.array(F.shiftright("bout_id", 32).cast("double"), F.col("bout_id").bitwiseAND(F.lit((1 << 32) - 1)).cast("double"))
         at = F.coalesce(F.unix_date("dt").cast("double"), F.lit(-math.inf))
-        chunks = histogram.packed(matchup.matrix(rows, tuple(names), ("dt",)).select(F.concat("x", key).alias("x"), "y", at.alias("at")), len(names) + 2)
+        for k in range(slices):
+            rows = matchup.training_rows(matchup.feature_table(of(own, "bout_id", k), entities(spark, sf_dir)), of(as_of, "bout_id", k))
+            parts.append(histogram.packed(matchup.matrix(rows, tuple(names), ("dt",)).select(F.concat("x", key).alias("x"), "y", at.alias("at")), len(names) + 2))
+    chunks = functools.reduce(DataFrame.union, parts)
     start = splits.boundary_of([(day, n) for day, n, _ in histogram.totals(chunks) if day > -math.inf])
     start = math.inf if start is None else start
     trees = [histogram.Tree(k, start, *FOLD_TREES[0][1:]) for k in range(len(VARIANTS))]

@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from bracketry.catalogue import QUERIES
 from bracketry.operators import histogram, splits, tree
@@ -69,3 +70,20 @@ def test_boundary_of_counted_days(spark, days):
     rows = spark.createDataFrame([(d,) for d in days], "d int").select(F.date_from_unix_date("d").alias("dt"), "d")
     want = splits.boundary(rows).select(F.unix_date("boundary").alias("b")).first().b
     assert splits.boundary_of([(r.d, r["count"]) for r in rows.groupBy("d").count().orderBy("d").collect()]) == want
+
+
+def test_slices_give_the_same_scores(spark, sf, monkeypatch):
+    from bracketry.plans import queries_model as qm
+
+    class Sliced(int):
+        def __rshift__(self, _):
+            return 2
+
+    want = sorted(map(str, qm.ablation_scores(spark, sf).collect()))
+    count = DataFrame.count
+    monkeypatch.setattr(DataFrame, "count", lambda self: Sliced(count(self)))
+    kept, stored = [], qm.stored
+    monkeypatch.setattr(qm, "stored", lambda df: kept.append(df) or stored(df))
+    got = sorted(map(str, qm.ablation_scores(spark, sf).collect()))
+    # the bouts, the ratings and three slices of as-of rows
+    assert len(kept) == 5 and len(want) > 10 and got == want
